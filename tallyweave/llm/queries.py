@@ -7,18 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import neardup
+from tallyweave.llm import decontam, exactdedup, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontamination": op5_decontamination,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_neardup": op8_minhash_neardup,
 }
 
@@ -26,6 +36,18 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _SHINGLES = "CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wide AS (SELECT item_id, least(5, len(w)) AS k, list_distinct([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)]) AS s FROM iw WHERE len(w) > 0),
+item AS (SELECT item_id, k, len(s) AS n, unnest(s) AS g FROM wide),
+doc AS (SELECT doc_id, k, unnest(list_distinct([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)])) AS g FROM dw, (SELECT DISTINCT k FROM wide) WHERE len(w) >= k)
+SELECT doc_id, item_id, count(*) AS n_shared, CAST(any_value(n) AS BIGINT) AS n_item, count(*) / any_value(n) AS containment
+FROM item JOIN doc USING (k, g) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n""",
+    "op6_exact_dedup": r"""
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)""",
     "op8_minhash_neardup": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS (SELECT doc_id, {_SHINGLES} AS s FROM words),
