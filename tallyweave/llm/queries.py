@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontam, exactdedup, neardup
+from tallyweave.llm import decontam, exactdedup, neardup, packing, sstable, storage, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the queries below; each operator takes another path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(_table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sstable.write(_table(spark, sf_dir, "documents"), storage.fresh(spark, "sstable"), vocabulary())
+    return sstable.read(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -22,14 +39,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+#: Id of <|endoftext|> in that vocabulary, which no text encodes to.
+END_OF_TEXT = 50256
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens (ids of its text) and n_ids (with the end id), by a scan of flat files."""
+    files, order = tokencount.write_flat(_table(spark, sf_dir, "documents"), storage.fresh(spark, "flat"), vocabulary(), END_OF_TEXT)
+    found = tokencount.count_tokens(files, END_OF_TEXT)
+    return order.join(found, ["file", "ordinal"]).select("doc_id", (F.col("n_ids") - 1).alias("n_tokens"), "n_ids")
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bestfit_packing": op3_bestfit_packing,
+    "op4_token_sstable": op4_token_sstable,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op10_token_counts": op10_token_counts,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
