@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontam, exactdedup, neardup, packing, sstable, storage, tokencount
+from tallyweave.llm import decontam, exactdedup, lmscore, neardup, packing, sstable, storage, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(found, ["file", "ordinal"]).select("doc_id", (F.col("n_ids") - 1).alias("n_tokens"), "n_ids")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_sstable": op4_token_sstable,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op10_token_counts": op10_token_counts,
 }
