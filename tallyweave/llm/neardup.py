@@ -14,8 +14,8 @@ Steps, with what each of them moves:
 3. Band keys are grouped.  Each bucket of two or more links its members to its smallest
    member only, never in all pairs; these pairs are verified on full sets.
 4. Groups are found.  Only where members of one bucket lie in different groups, the members
-   outside of the pivot's group are verified against the rest of that bucket, so no link
-   that a bucket shows is lost.  Then groups are found again.
+   outside of the pivot's group are verified against the rest of that bucket, in blocks of
+   bounded size, so no link that a bucket shows is lost.  Then groups are found again.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing.
 Rows that repeat a ``doc_id`` are all returned; they share a component because the lowest
@@ -143,6 +143,51 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
+def _across(group: pa.Table) -> pa.Table:
+    """The links between the outsiders and the members of one block, where their groups differ."""
+    side, rep, comp = group["outside"].to_numpy(), group["rep"].to_numpy(), group["comp"].to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), _U) for x in group["set"]]
+    size = np.array([len(s) for s in sets])
+    out = np.flatnonzero(side)
+    links: list[tuple[int, int]] = []
+    if len(out):
+        value = np.concatenate([sets[k] for k in out])
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], np.repeat(np.arange(len(out)), size[out])[order]
+        for k in np.flatnonzero(~side):
+            lo, hi = np.searchsorted(value, sets[k], "left"), np.searchsorted(value, sets[k], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(out))
+            ok = (100 * both >= PERCENT * (size[out] + size[k] - both)) & (comp[out] != comp[k])
+            links += [(min(int(rep[k]), int(rep[x])), max(int(rep[k]), int(rep[x]))) for x in out[ok]]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+#: Shingles of the outsiders, and of the members, that one block compares: bound a task's memory.
+OUTSIDE, INSIDE = 1 << 19, 1 << 21
+
+
+def _torn_links(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across groups in torn buckets.
+
+    ``of`` (home, rep, n, comp) has the members of the torn buckets whose smallest member
+    is in the group ``home``.  Those of other groups, the outsiders, are compared with all
+    members.  Both sides are dealt into blocks of bounded size; a block compares each of
+    its members with all of its outsiders at once, through an index of the outsiders'
+    shingles, so neither pairs nor whole groups are ever gathered.
+    """
+    outside = F.col("comp") != F.col("home")
+    total = of.groupBy("home").agg(F.ceil(F.sum(F.when(outside, F.col("n")).otherwise(0)) / OUTSIDE).alias("parts"), F.ceil(F.sum("n") / INSIDE).alias("blocks"))
+    dealt = of.join(total, "home").withColumn("outside", outside).withColumn("hash", F.xxhash64("rep"))
+    part, block = F.pmod("hash", "parts"), F.pmod("hash", "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    out = dealt.where("outside").select("home", part.alias("part"), every("blocks").alias("block"), "rep", "comp", "outside")
+    ins = dealt.select("home", every("parts").alias("part"), block.alias("block"), "rep", "comp", F.lit(False).alias("outside"))
+    both = out.unionByName(ins).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    return both.groupBy("home", "part", "block").applyInArrow(_across, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -172,12 +217,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Buckets whose members are in more than one group: the rest of their links.
     of = bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "pivot", "rep", "n", "comp")
-    torn = of.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    of = storage.kept(of.join(torn, "key"), "torn")
-    home = of.where("rep = pivot").select("key", F.col("comp").alias("home"))
-    out = of.join(home, "key").where("comp <> home").select("key", F.col("rep").alias("o"), F.col("n").alias("n_o"), F.col("comp").alias("comp_o"))
-    rest = of.where("rep <> pivot").join(out, "key").where("comp <> comp_o").where(fits(F.col("n"), F.col("n_o"))).select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct()
-    more = storage.kept(_verified(rest, sets_one), "links")
+    torn = of.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("home")).where("c0 < c1").select("key", "home")
+    of = storage.kept(of.join(torn, "key").groupBy("home", "rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "torn")
+    more = storage.kept(_torn_links(of, sets_one), "links")
     comp = storage.kept(components(links.unionByName(more)), "components")
     storage.drop(sets, bucket, of, wanted, first, links, more)
 
