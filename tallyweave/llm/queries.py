@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontam, exactdedup, lmscore, neardup, packing, sstable, storage, tokencount
+from tallyweave.llm import decontam, exactdedup, langid, lmscore, neardup, packing, quality, sstable, storage, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces(_table(spark, sf_dir, "documents"), vocabulary())
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -39,6 +44,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 #: Id of <|endoftext|> in that vocabulary, which no text encodes to.
 END_OF_TEXT = 50256
 
@@ -59,12 +68,14 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_bestfit_packing": op3_bestfit_packing,
     "op4_token_sstable": op4_token_sstable,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_minhash_neardup": op8_minhash_neardup,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
