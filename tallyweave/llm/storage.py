@@ -62,10 +62,10 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
-def write_stream(folder: str, name: str):
+def write_stream(folder: str, name: str, suffix: str = ""):
     """Open a new file for a task.  The name is unique for each attempt, so a retried
     task never writes over, and an index never names, a file of a lost attempt."""
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
-    name = f"{name}-{uuid.uuid4().hex}"
-    return name, fs.open_output_stream(f"{path}/{name}")
+    name = f"{name}-{uuid.uuid4().hex}{suffix}"
+    return name, fs.open_output_stream(f"{path}/{name}", compression=None)
