@@ -1,66 +1,75 @@
 """Whole-text encoding with the ``tokenizers`` library, with a bounded cache of chunks.
 
 In a byte-level BPE with the usual split pattern and no normaliser, a text's ids are those
-of its chunks put together, when each chunk begins at a run of spaces that follows another
-character.  Chunks recur, so a worker keeps the ids of short ones; each id still comes from
-the library.  Other kinds of tokenizers encode each text as one.
+of its chunks put together, when each chunk begins at a run of white space that follows a
+character of another kind.  Chunks recur, so a worker keeps the ids of short ones; each id
+still comes from the library.  Other kinds of tokenizers encode each text as one.
 """
 
 from __future__ import annotations
 
-import json
+import array
 import os
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks that a worker keeps (about 200 bytes each), and the longest that it keeps.
-CACHE = 600_000
+CACHE = 300_000
 CACHE_CHARS = 40
 
-_CHUNK = re.compile(r" *[^ ]+| +")
+#: White space as the split pattern has it.
+_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: A space beside other white space.
+_RUN = re.compile(f" [{_WS}]|[{_WS}] ")
+#: Letters and then ASCII marks, which the split keeps apart (an apostrophe can begin a suffix).
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
 
-class _Chunks(dict):
-    """Ids, as little-endian 32-bit bytes, of a prefix and a chunk; filled on demand."""
-
-    def __init__(self, raw, prefix: str):
-        self.raw, self.prefix = raw, prefix
-
-    def __missing__(self, chunk: str) -> bytes:
-        # A mark after a letter is encoded on its own in any case.
-        if len(chunk) > 2 and chunk[-1] in ",." and chunk[-2].isalpha():
-            ids = self[chunk[:-1]] + (self.mark(chunk[-1]))
-        else:
-            ids = self.raw(self.prefix + chunk)
-        if len(chunk) <= CACHE_CHARS and len(self) < CACHE:
-            self[chunk] = ids
-        return ids
-
-    def mark(self, c: str) -> bytes:
-        if c not in (m := self.__dict__.setdefault("marks", {})):
-            m[c] = self.raw(c)
-        return m[c]
+#: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for
+#: themselves, the other bytes for 256, 257, ... in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Up to here, what Python calls a letter is one for every version of Unicode's tables.
+_LATIN = "\u024f"
 
 
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        pre = told.get("pre_tokenizer") or {}
-        self.chunked = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and told["model"]["type"] == "BPE" and not told["model"].get("dropout") and all(t["special"] for t in told.get("added_tokens", []))
-        self.later, self.first = _Chunks(self._raw, " "), _Chunks(self._raw, "")
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        pre, self.model = t.pre_tokenizer, t.model
+        self.chunked = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and type(self.model).__name__ == "BPE" and not self.model.dropout and all(x.special for x in t.get_added_tokens_decoder().values())
+        #: Ids, as little-endian 32-bit bytes, of chunks after a space and of chunks at a text's start.
+        self.later: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.line = self._raw("\n")
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, held: dict[str, bytes], prefix: str, chunk: str) -> bytes:
+        """Ids of a chunk without spaces, after ``prefix`` (a space or nothing)."""
+        ids = held.get(chunk)
+        if ids is None:
+            if chunk.isalpha() and max(chunk) <= _LATIN:  # one run of letters: the split has nothing to do
+                shown = (prefix + chunk).encode().decode("latin1").translate(_BYTES)
+                ids = array.array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+            elif (m := _MARKED.match(chunk)) and max(m[1]) <= _LATIN:
+                ids = self._chunk(held, prefix, m[1]) + self._chunk(self.first, "", m[2])
+            elif "\n" in chunk and all((parts := chunk.split("\n"))) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
+                return self._chunk(held, prefix, parts[0]) + b"".join(self.line + self._chunk(self.first, "", p) for p in parts[1:])
+            else:
+                ids = self._raw(prefix + chunk)
+            if len(chunk) <= CACHE_CHARS and len(held) < CACHE:
+                held[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -68,15 +77,23 @@ class Encoder:
             return b""
         if not self.chunked:
             return self._raw(text)
-        if "  " not in text:
+        if not _RUN.search(text):
             head, *rest = text.split(" ")
-            return (self.first[head] if head else b"") + b"".join(map(self.later.__getitem__, rest))
+            ids = list(map(self.later.get, rest))
+            k = -1
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
+                    ids[k] = self._chunk(self.later, " ", rest[k])
+            except ValueError:
+                pass
+            return (self._chunk(self.first, "", head) if head else b"") + b"".join(ids)
         out = []
         for c in _CHUNK.findall(text):
-            if c[0] != " ":
-                out.append(self.first[c])
-            elif len(c) > 1 and c[1] != " ":
-                out.append(self.later[c[1:]])
+            if c[0] == " " and len(c) > 1 and not c[1].isspace():
+                out.append(self._chunk(self.later, " ", c[1:]))
+            elif not c[0].isspace():
+                out.append(self._chunk(self.first, "", c))
             else:
                 out.append(self._raw(c))
         return b"".join(out)
