@@ -1,14 +1,573 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries over the driver's tables, and a SQL twin for each that SQL can express.
+
+The reference works on live conversations; these queries feed its operators from tables:
+``conversations`` as sessions, ``orders`` as turns with recurring paths, ``events`` as calls
+and streams, ``lineitem`` as paired arms, ``labels`` as paired scores.  Thresholds are set
+for texts of this length.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyweave import schema
+from tallyweave.config import Alias, Breakpoints, Checkpoint, Config, Dedup, Tier
+from tallyweave.functions import similarity, text, usage
+from tallyweave.functions.let import let
+from tallyweave.operators import blocks, evaluate, mining, sessions, stages
+from tallyweave.plans import pipeline
+from tallyweave.sources import files
+from tallyweave.sources.requests import block, from_json, from_turns
+from tallyweave.streaming.state import assistant_text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+CHECKPOINT = Checkpoint(trigger_tokens=300, keep_recent=2, summary_tokens=60)
+DEDUP = Dedup(protect_last=2, min_block_tokens=40)
+ALIAS = Alias(enabled=True, min_occurrences=6, min_length=24, protect_last=1)
+CONFIG = Config(checkpoint=Checkpoint(trigger_tokens=400, keep_recent=2, summary_tokens=60), dedup=DEDUP, tier=Tier(tiny=200, short=300))
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- adapters -------------------------------------------------------------------------------
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_turns(table(spark, sf_dir, "conversations"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.numbered_turns(table(spark, sf_dir, "conversations"))
+
+
+def path_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as a conversation about log files."""
+    o = table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("/srv/warehouse/orders/"), F.col("o_orderstatus"), F.lit("/"), F.lower(F.substring("o_orderpriority", 1, 1)), F.lit("/batch.log"))
+    said = F.concat(F.lit("Check "), path, F.lit(" again, then "), path, F.lit(" of order "), F.col("o_orderkey").cast("string"))
+    return o.select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn"), F.when(F.col("o_orderkey") % 2 == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls with usage."""
+    cents = F.floor(F.col("value") * 100).cast("long")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", cents.alias("input_tokens"), F.when(F.col("event_id") % 3 == 0, cents * 2).alias("cache_creation_input_tokens"), F.when(F.col("event_id") % 2 == 0, cents * 5).otherwise(0).alias("cache_read_input_tokens"), F.floor(F.col("value")).cast("long").alias("output_tokens"))
+
+
+def tool_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a conversation; errors and views are tool results."""
+    e = table(spark, sf_dir, "events")
+    said = F.concat(F.col("event_type"), F.lit(" "), F.coalesce("props", F.lit("")))
+    result = block("tool_result", F.lit(None).cast("string")).withField("parts", F.array(F.struct(F.lit("text").alias("type"), said.alias("text")))).withField("result_is_string", F.lit(True))
+    m = F.struct("event_id", F.struct(F.lit("user").alias("role"), F.array(F.when(F.col("event_type").isin("error", "view"), result).otherwise(block("text", said))).alias("content")).alias("m"))
+    g = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(m), lambda a, b: F.sign(a["event_id"] - b["event_id"]).cast("int")), lambda x: x["m"]).alias("messages"))
+    return g.select(F.col("user_id").cast("string").alias("session"), F.lit(None).cast(schema.SYSTEM).alias("system"), F.lit(None).cast(schema.TOOLS).alias("tools"), "messages")
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a stream of a service's events."""
+    e = calls(spark, sf_dir)
+    kind = F.when(F.col("event_id") % 7 < 2, "message_start").when(F.col("event_id") % 7 < 5, "content_block_delta").otherwise("message_delta")
+    n = F.col("output_tokens").cast("string")
+    start = F.concat(F.lit('{"type":"message_start","message":{"usage":{"input_tokens":'), F.col("input_tokens").cast("string"), F.lit(',"cache_read_input_tokens":'), F.col("cache_read_input_tokens").cast("string"), F.lit(',"output_tokens":1}}}'))
+    delta = F.when(F.col("event_id") % 7 == 5, F.concat(F.lit('{"type":"message_delta","usage":{"output_tokens":'), n, F.lit("}}"))).otherwise(F.lit('{"type":"message_delta","usage":{}}'))
+    words = F.concat(F.lit('{"type":"content_block_delta","index":0,"delta":{"type":"text_delta","text":"'), F.col("event_type"), F.lit(' "}}'))
+    return e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(kind == "message_start", start).when(kind == "message_delta", delta).otherwise(words).alias("data"))
+
+
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as paired turns: price before and after discount as input and cost."""
+    b, c = F.floor("l_extendedprice").cast("long"), F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("config"), F.col("l_linenumber").cast("long").alias("turn"), b.alias("baseline_input"), c.alias("compressed_input"), (b * 3e-6).alias("baseline_cost"), (c * 3e-6).alias("compressed_cost"))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as paired scores."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("baseline_score"), (1.0 - F.col("toxic")).alias("compressed_score"))
+
+
+# -- SQL parts ---------------------------------------------------------------------------------
+
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+def _tok(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, '{_TOKEN}')) AS BIGINT)"
+
+
+_M = """m AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS mi, count(*) OVER (PARTITION BY conv_id) AS n, role, coalesce(text, '') AS text
+  FROM conversations WHERE role <> 'system'),
+sys AS (SELECT conv_id AS session, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id)"""
+_TOTALS = f"""tot AS (SELECT session, CAST(sum(t) AS BIGINT) AS tokens FROM (SELECT session, {_tok('text')} AS t FROM m UNION ALL SELECT session, {_tok('text')} FROM sys) GROUP BY session)"""
+_SPLIT = """sp AS (SELECT session, any_value(n) AS n, coalesce(min(mi) FILTER (WHERE mi >= n - 2 AND role = 'assistant'), any_value(n)) AS cut FROM m GROUP BY session),
+bl AS (SELECT m.session, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY mi) AS blob FROM m JOIN sp USING (session) WHERE mi < cut GROUP BY m.session)"""
+_SUMMARY = f"""pa AS (SELECT session, unnest(string_split(blob, chr(10) || chr(10))) AS p, generate_subscripts(string_split(blob, chr(10) || chr(10)), 1) AS k FROM bl),
+pb AS (SELECT session, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS p, k FROM pa),
+pc AS (SELECT session, p, row_number() OVER (PARTITION BY session ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM pb WHERE p <> ''),
+pd AS (SELECT session, p, i, sum({_tok('p')}) OVER (PARTITION BY session ORDER BY i) AS used FROM pc WHERE i < greatest(1, n // 4) OR i >= greatest(greatest(1, n // 4), n - greatest(1, n // 2))),
+sm AS (SELECT session, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (WHERE used <= 60), '') AS summary FROM pd GROUP BY session)"""
+_GRAMS = """items AS (SELECT session, mi, text FROM m),
+g AS (SELECT session, mi, unnest(list_concat(regexp_extract_all(lower(text), '""" + _TOKEN + """'), [substr(text, i, 3) for i in range(1, greatest(length(text) - 1, 1))])) AS gram FROM items),
+bk AS (SELECT session, mi, CAST(('0x' || substr(md5(gram), 31, 2)) AS INTEGER) AS bucket, count(*) AS n FROM g GROUP BY ALL)"""
+_PAIRS = """sq AS (SELECT session, mi, sum(n * n) AS s FROM bk GROUP BY ALL),
+dots AS (SELECT a.session, a.mi AS i, b.mi AS j, sum(a.n * b.n) AS d FROM bk a JOIN bk b ON a.session = b.session AND a.bucket = b.bucket AND a.mi < b.mi GROUP BY ALL),
+pairs AS (SELECT x.session, x.mi AS i, y.mi AS j, round(least(coalesce(d / sqrt(CAST(sx.s * sy.s AS DOUBLE)), 0.0), 1.0), 9) AS cos
+  FROM items x JOIN items y ON x.session = y.session AND x.mi < y.mi LEFT JOIN dots ON dots.session = x.session AND dots.i = x.mi AND dots.j = y.mi
+  LEFT JOIN sq sx ON sx.session = x.session AND sx.mi = x.mi LEFT JOIN sq sy ON sy.session = y.session AND sy.mi = y.mi)"""
+_OTSU = """h AS (SELECT session, CAST(least(floor(cos * 100), 99) AS INTEGER) AS bin, count(*) AS n FROM pairs WHERE cos BETWEEN 0 AND 1 GROUP BY ALL),
+bins AS (SELECT s.session, b.bin, coalesce(h.n, 0) AS n, (b.bin + 0.5) / 100 AS c FROM (SELECT DISTINCT session FROM h) s CROSS JOIN (SELECT CAST(unnest(range(100)) AS INTEGER) AS bin) b LEFT JOIN h ON h.session = s.session AND h.bin = b.bin),
+cu AS (SELECT session, bin, c, sum(n) OVER e AS total, sum(n * c) OVER e AS mass, sum(n) OVER u AS n0, sum(n * c) OVER u AS m0 FROM bins WINDOW e AS (PARTITION BY session), u AS (PARTITION BY session ORDER BY bin)),
+va AS (SELECT session, bin, c, total, CASE WHEN n0 > 0 AND n0 < total THEN round((n0 / total) * ((total - n0) / total) * pow(m0 / n0 - (mass - m0) / (total - n0), 2), 12) END AS v FROM cu),
+otsu AS (SELECT session, CAST(any_value(total) AS BIGINT) AS pairs, CASE WHEN any_value(total) < 3 THEN 0.93 ELSE coalesce(arg_max(c, v * 1e6 - bin * 1e-9), 0.93) END AS threshold FROM va GROUP BY session)"""
+_OTSU = _OTSU.replace("arg_max(c, v * 1e6 - bin * 1e-9)", "first(c ORDER BY v DESC NULLS LAST, bin)")
+
+
+# -- ingest and blocks ------------------------------------------------------------------------
+
+
+@query(f"WITH {_M} SELECT CAST(session AS VARCHAR) AS session, mi, role, substr(sha1(text), 1, 12) AS hash, {_tok('text')} AS n_tokens FROM m WHERE regexp_matches(text, '\\S')")
+def blocks_flat(spark, sf_dir):
+    return blocks.text_blocks(conversations(spark, sf_dir)).select("session", F.col("mi").cast("long").alias("mi"), "role", text.content_hash(F.col("text")).alias("hash"), text.count_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(f"WITH {_M}, {_TOTALS} SELECT CAST(session AS VARCHAR) AS session, tokens FROM tot")
+def request_tokens(spark, sf_dir):
+    return conversations(spark, sf_dir).select("session", blocks.request_tokens().alias("tokens"))
+
+
+@query(f"""WITH {_M}, {_TOTALS} SELECT conv_id % 10 = 0 AS bad, count(*) AS n, CAST(sum(CASE WHEN conv_id % 10 <> 0 THEN tokens ELSE 0 END) AS BIGINT) AS tokens
+FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN tot ON tot.session = c.conv_id GROUP BY ALL""")
+def request_ingest(spark, sf_dir):
+    """Conversations as JSON bodies, a tenth of them broken, read back."""
+    r = conversations(spark, sf_dir)
+    body = F.to_json(F.struct(F.transform("system", lambda s: F.struct(F.lit("text").alias("type"), s["text"].alias("text"))).alias("system"), F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.get(m["content"], 0)["text"].alias("content"))).alias("messages")))
+    good, bad = from_json(r.select("session", "request_id", F.when(F.col("session").cast("long") % 10 == 0, "{broken").otherwise(body).alias("value")))
+    ok = good.select(F.lit(False).alias("bad"), blocks.request_tokens().alias("tokens"))
+    return ok.unionByName(bad.select(F.lit(True).alias("bad"), F.lit(0).cast("long").alias("tokens"))).groupBy("bad").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query(f"WITH {_M}, {_TOTALS} SELECT CAST(session AS VARCHAR) AS session, tokens, CASE WHEN tokens < 200 THEN 'tiny' WHEN tokens < 400 THEN 'short' ELSE 'full' END AS tier FROM tot")
+def tier_route(spark, sf_dir):
+    r = conversations(spark, sf_dir)
+    return let(r, tokens=blocks.request_tokens(), results=blocks.result_tokens()).select("session", "tokens", pipeline.tier(F.col("tokens"), F.col("results"), Tier(200, 400)).alias("tier"))
+
+
+@query(f"""SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS messages, CAST(sum(CASE WHEN event_type IN ('error', 'view') THEN {_tok("event_type || ' ' || coalesce(props, '')")} ELSE 0 END) AS BIGINT) AS result_tokens,
+CAST(sum({_tok("event_type || ' ' || coalesce(props, '')")}) AS BIGINT) AS tokens, count(*) FILTER (WHERE event_type IN ('error', 'view')) / count(*) > 0.3 AS tool_heavy FROM events GROUP BY user_id""")
+def tool_ratio(spark, sf_dir):
+    return tool_requests(spark, sf_dir).select("session", F.size("messages").cast("long").alias("messages"), blocks.result_tokens().alias("result_tokens"), blocks.request_tokens().alias("tokens"), blocks.tool_heavy(F.col("messages")).alias("tool_heavy"))
+
+
+@query("SELECT role, substr(sha1(text), 1, 12) AS hash, count(*) AS n FROM conversations GROUP BY ALL")
+def content_hashes(spark, sf_dir):
+    return sessions.seen_hashes(table(spark, sf_dir, "conversations"), "role")
+
+
+@query(f"""WITH {_M}, a AS (SELECT session, string_agg(substr(text, 1, 1000), '||' ORDER BY mi) AS anchor FROM m WHERE mi < 3 GROUP BY session)
+SELECT CAST(a.session AS VARCHAR) AS session, substr(sha256(substr(coalesce(sys.text, '""'), 1, 2000) || '|||' || anchor), 1, 24) AS fingerprint FROM a LEFT JOIN sys USING (session)""")
+def fingerprints(spark, sf_dir):
+    return blocks.fingerprints(conversations(spark, sf_dir)).select("session", "fingerprint")
+
+
+@query(f"WITH {_M} SELECT CAST(session AS VARCHAR) AS session, first(text ORDER BY mi DESC) AS last_user FROM m WHERE role = 'user' GROUP BY session")
+def last_user_turn(spark, sf_dir):
+    return conversations(spark, sf_dir).select("session", blocks.last_user_text(F.col("messages")).alias("last_user")).where("last_user is not null")
+
+
+@query(f"""WITH {_M}, u AS (SELECT session, mi, text, count(*) OVER (PARTITION BY session) AS rows FROM m WHERE role = 'user'),
+ok AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY mi) - 1 AS turn, count(*) OVER (PARTITION BY session) AS kept FROM u WHERE regexp_matches(text, '\\S') AND rows >= 2
+  AND NOT (starts_with(text, '[SUGGESTION MODE') OR starts_with(text, '[Request interrupted') OR starts_with(text, 'The user stepped away') OR starts_with(text, '<system-reminder>') OR starts_with(text, '[CONTEXT:')))
+SELECT 'recorded-' || substr(CAST(session AS VARCHAR), 1, 8) AS id, CAST(session AS VARCHAR) AS session, turn, text AS user, nullif(regexp_extract(text, 'NEEDLE=([\\p{{L}}\\p{{N}}_]+)', 1), '') AS value FROM ok WHERE kept >= 2""")
+def mine_tasks(spark, sf_dir):
+    """Each user turn of a conversation as the request that a client would have sent."""
+    r = conversations(spark, sf_dir)
+    sent = r.select("session", "messages", F.posexplode("messages").alias("mi", "m")).where("m.role = 'user'")
+    rows = sent.select("session", F.col("mi").cast("double").alias("ts"), F.slice("messages", F.lit(1), F.col("mi") + 1).alias("messages"))
+    return mining.turn_rows(mining.mine(rows)).withColumn("turn", F.col("turn").cast("long"))
+
+
+@query("SELECT doc_id, 'k' || doc_id AS needle FROM documents")
+def needle_extract(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.needle(F.concat(F.coalesce("text", F.lit("")), F.lit(" NEEDLE=k"), F.col("doc_id").cast("string"), F.lit(".")).alias("t")).alias("needle"))
+
+
+@query("SELECT role, count(DISTINCT conv_id) AS sessions, count(*) AS rows FROM conversations GROUP BY role")
+def split_counts(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count_distinct("conv_id").alias("sessions"), F.count("*").alias("rows"))
+
+
+@query(f"WITH {_M} SELECT CAST(session AS VARCHAR) AS session, mi, CAST(len(s) AS BIGINT) AS sentences, s[1] AS first FROM (SELECT session, mi, [x for x in [regexp_replace(y, '^\\s+|\\s+$', '', 'g') for y in regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')] if x <> ''] AS s FROM m)")
+def sentence_split(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("s", text.sentences(F.coalesce("text", F.lit(""))))
+    return m.select(F.col("session").cast("string").alias("session"), "mi", F.size("s").cast("long").alias("sentences"), F.get("s", F.lit(0)).alias("first"))
+
+
+# -- similarity ---------------------------------------------------------------------------------
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages(spark, sf_dir).select("session", "mi", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.pair_cosines(_texts(spark, sf_dir), "session", "mi")
+
+
+@query(f"WITH {_M}, {_GRAMS} SELECT session, mi, bucket, n FROM bk")
+def hash_buckets(spark, sf_dir):
+    return similarity.buckets(_texts(spark, sf_dir), "session", "mi")
+
+
+@query(f"WITH {_M}, {_GRAMS}, {_PAIRS} SELECT * FROM pairs")
+def pair_cosine(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+@query(f"WITH {_M}, {_GRAMS}, {_PAIRS} SELECT CAST(least(floor(cos * 100), 99) AS INTEGER) AS bin, count(*) AS n FROM pairs WHERE cos BETWEEN 0 AND 1 GROUP BY ALL")
+def sim_histogram(spark, sf_dir):
+    return similarity.histogram(_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_M}, {_GRAMS}, {_PAIRS}, {_OTSU} SELECT session, pairs, threshold FROM otsu")
+def otsu_threshold(spark, sf_dir):
+    return similarity.otsu(_pairs(spark, sf_dir), "session")
+
+
+@query(f"WITH {_M}, {_GRAMS}, {_PAIRS}, {_OTSU}, {_TOTALS} SELECT session, round(least(greatest(least(threshold - 0.13 * greatest(0.0, (tokens / 800.0 - 0.5) * 2.0), 0.90), 0.80), 0.97), 9) AS threshold FROM otsu JOIN tot USING (session)")
+def dynamic_threshold(spark, sf_dir):
+    t = conversations(spark, sf_dir).select(F.col("session").cast("long").alias("session"), blocks.request_tokens().alias("tokens"))
+    return similarity.otsu(_pairs(spark, sf_dir), "session").join(t, "session").select("session", F.round(similarity.dynamic_threshold(F.col("threshold"), F.col("tokens"), 800), 9).alias("threshold"))
+
+
+_CAND = f"c AS (SELECT session, mi, text, row_number() OVER (PARTITION BY session ORDER BY mi) AS k FROM m WHERE mi < n - 2 AND {_tok('text')} >= 40)"
+_GREEDY = f"""{_CAND}, {_GRAMS.replace("FROM m)", "FROM c)")}, {_PAIRS}, {_OTSU},
+th AS (SELECT c.session, CASE WHEN count(*) >= 3 THEN any_value(o.threshold) ELSE 0.93 END AS base FROM c LEFT JOIN otsu o USING (session) GROUP BY c.session),
+tt AS (SELECT session, least(greatest(least(base - 0.13 * greatest(0.0, (tokens / 180000 - 0.5) * 2.0), 0.90), 0.80), 0.97) AS t FROM th JOIN tot USING (session)),
+nb AS (SELECT c.session, c.k, c.mi, coalesce(list(p.k) FILTER (WHERE p.k IS NOT NULL), []) AS before FROM c JOIN tt USING (session)
+  LEFT JOIN pairs ON pairs.session = c.session AND pairs.j = c.mi AND pairs.cos >= tt.t LEFT JOIN c p ON p.session = c.session AND p.mi = pairs.i GROUP BY ALL),
+fold(session, k, kept) AS (SELECT session, 1, [CAST(1 AS BIGINT)] FROM nb WHERE k = 1
+  UNION ALL SELECT nb.session, nb.k, CASE WHEN list_has_any(fold.kept, nb.before) THEN fold.kept ELSE list_append(fold.kept, nb.k) END FROM fold JOIN nb ON nb.session = fold.session AND nb.k = fold.k + 1),
+kp AS (SELECT session, first(kept ORDER BY k DESC) AS kept FROM fold GROUP BY session)"""
+
+
+@query(f"WITH RECURSIVE {_M}, {_TOTALS}, {_GREEDY} SELECT CAST(c.session AS VARCHAR) AS session, c.mi, list_contains(kp.kept, c.k) AS kept FROM c JOIN kp USING (session)")
+def dedup_greedy(spark, sf_dir):
+    return stages.dedup_verdicts(conversations(spark, sf_dir), DEDUP).select("session", F.col("mi").cast("long").alias("mi"), "kept")
+
+
+_DROPPED = f"dr AS (SELECT c.session, CAST(sum({_tok('c.text')} - 5) AS BIGINT) AS saved FROM c JOIN kp USING (session) WHERE NOT list_contains(kp.kept, c.k) GROUP BY c.session)"
+
+
+@query(f"WITH RECURSIVE {_M}, {_TOTALS}, {_GREEDY}, {_DROPPED} SELECT CAST(tot.session AS VARCHAR) AS session, tokens AS before, tokens - coalesce(saved, 0) AS after FROM tot LEFT JOIN dr USING (session)")
+def dedup_savings(spark, sf_dir):
+    return _audited(stages.dedup(_ready(conversations(spark, sf_dir)), DEDUP, F.lit(True)))
+
+
+def _ready(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("audit", F.array().cast(schema.AUDIT))
+
+
+def _audited(df: DataFrame) -> DataFrame:
+    a = F.get("audit", F.lit(0))
+    return df.select("session", a["before"].alias("before"), a["after"].alias("after"))
+
+
+@query("""WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 9) AS cos
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, other) AS rank FROM p)
+SELECT vec_id, other, round(cos, 6) AS cos, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def vec_topk(spark, sf_dir):
+    return similarity.top_cosines(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 20 == 0).withColumn("cos", F.round("cos", 6))
+
+
+@query()
+def eigen_cover(spark, sf_dir):
+    """Sentences of each turn that cover seven tenths of the others."""
+    m = messages(spark, sf_dir).withColumn("s", text.sentences(F.coalesce("text", F.lit(""))))
+    return m.where(F.size("s") >= 4).select(F.col("session").cast("string").alias("session"), "mi", F.size("s").cast("long").alias("sentences"), stages.covering(0.70)(F.col("s")).alias("kept"))
+
+
+# -- checkpoint ----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_M}, {_SPLIT} SELECT CAST(session AS VARCHAR) AS session, n, cut FROM sp")
+def keep_recent_split(spark, sf_dir):
+    r = conversations(spark, sf_dir).where(F.size("messages") > 0)
+    return r.select("session", F.size("messages").cast("long").alias("n"), stages.split_at(F.col("messages"), 2).cast("long").alias("cut"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS session, count(*) FILTER (WHERE event_type IN ('error', 'view')) / count(*) > 0.5 AS heavy FROM events GROUP BY user_id")
+def tool_heavy(spark, sf_dir):
+    return tool_requests(spark, sf_dir).select("session", blocks.tool_heavy(F.col("messages"), 0.5).alias("heavy"))
+
+
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = conversations(spark, sf_dir)
+    return let(r, cut=stages.split_at(F.col("messages"), 2)).where("cut > 0").select("session", "messages", stages.blob(F.col("messages"), F.col("cut")).alias("blob"))
+
+
+@query(f"WITH {_M}, {_SPLIT}, {_TOTALS} SELECT CAST(session AS VARCHAR) AS session, {_tok('blob')} AS old_tokens, substr(sha1(blob), 1, 16) AS hash, tokens >= 300 AND {_tok('blob')} >= 120 AS folds FROM bl JOIN tot USING (session)")
+def checkpoint_gate(spark, sf_dir):
+    b = _blobs(spark, sf_dir)
+    total = conversations(spark, sf_dir).select("session", blocks.request_tokens().alias("tokens"))
+    old = text.count_tokens(F.col("blob"))
+    return b.join(total, "session").select("session", old.alias("old_tokens"), text.content_hash(F.col("blob"), 16).alias("hash"), ((F.col("tokens") >= 300) & (old >= 120)).alias("folds"))
+
+
+@query(f"WITH {_M}, {_SPLIT}, {_SUMMARY} SELECT CAST(session AS VARCHAR) AS session, summary FROM sm")
+def extractive_summary(spark, sf_dir):
+    return _blobs(spark, sf_dir).select("session", stages.extractive_summary(F.col("blob"), 60).alias("summary"))
+
+
+_FOLDED = f"""fo AS (SELECT tot.session, tokens, sp.cut, tokens >= TRIGGER AND {_tok("coalesce(blob, '')")} >= 120 AS folds, {_tok("'=== CONVERSATION CHECKPOINT (older turns compressed) ===' || chr(10) || coalesce(summary, '') || chr(10) || '=== END CHECKPOINT — continue from the latest messages ==='")} AS head
+  FROM tot JOIN sp USING (session) LEFT JOIN bl USING (session) LEFT JOIN sm USING (session)),
+ro AS (SELECT session, CAST(coalesce(sum({_tok('text')}), 0) AS BIGINT) AS folded FROM m JOIN sp USING (session) WHERE mi < cut GROUP BY session),
+ck AS (SELECT session, tokens AS before, CASE WHEN folds THEN tokens - coalesce(folded, 0) + head ELSE tokens END AS after, folds FROM fo LEFT JOIN ro USING (session))"""
+
+
+@query(f"WITH {_M}, {_SPLIT}, {_SUMMARY}, {_TOTALS}, {_FOLDED.replace('TRIGGER', '300')} SELECT CAST(session AS VARCHAR) AS session, before, after FROM ck")
+def checkpoint_apply(spark, sf_dir):
+    return _audited(stages.checkpoint(_ready(conversations(spark, sf_dir)), CHECKPOINT, F.lit(True)))
+
+
+# -- aliases -----------------------------------------------------------------------------------------
+
+_PATHS = """pt AS (SELECT o_custkey AS session, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS mi, count(*) OVER (PARTITION BY o_custkey) AS n,
+  'Check /srv/warehouse/orders/' || o_orderstatus || '/' || lower(substr(o_orderpriority, 1, 1)) || '/batch.log again, then /srv/warehouse/orders/' || o_orderstatus || '/' || lower(substr(o_orderpriority, 1, 1)) || '/batch.log of order ' || o_orderkey AS text FROM orders)"""
+_LEGEND = "[ALIAS LEGEND — these short tokens stand in for the strings on the right; treat them as identical]\n"
+_ALIASES = f"""{_PATHS},
+st AS (SELECT session, mi, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_./:\\-]{{24,}}')) AS s, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_./:\\-]{{24,}}'), 1) AS p FROM pt WHERE mi < n - 1),
+ca AS (SELECT session, s, count(*) AS c, min(mi * 1000 + p) AS f FROM st GROUP BY ALL HAVING count(*) >= 6),
+rk AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY length(s) * c DESC, f) - 1 AS i FROM ca),
+co AS (SELECT *, '@a' || i AS alias, ({_tok('s')} - {_tok("'@a' || i")}) * c - {_tok("'@a' || i || ' = ' || s || chr(10)")} AS net FROM rk WHERE i < 24),
+ru AS (SELECT *, sum(net) OVER (PARTITION BY session ORDER BY i) - {_tok("'" + _LEGEND + "'")} AS total FROM co),
+se AS (SELECT *, min(total) OVER (PARTITION BY session ORDER BY i) AS least FROM ru),
+ok AS (SELECT session, alias, s AS original, c, i FROM se WHERE least > 0)"""
+
+
+@query(f"WITH {_ALIASES} SELECT CAST(session AS VARCHAR) AS session, s AS original, c AS n FROM ca")
+def alias_candidates(spark, sf_dir):
+    r = from_turns(path_turns(spark, sf_dir))
+    texts = F.transform(F.slice("messages", F.lit(1), F.greatest(F.size("messages") - 1, F.lit(0))), lambda m: blocks.content_text(m["content"]))
+    return let(r, s=stages.alias_strings(texts, 24)).select("session", F.explode(stages.alias_candidates(F.col("s"), 6)).alias("c")).select("session", "c.original", F.col("c.n").cast("long").alias("n"))
+
+
+def _aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.alias(_ready(from_turns(path_turns(spark, sf_dir))), ALIAS, F.lit(True))
+
+
+@query(f"WITH {_ALIASES} SELECT CAST(session AS VARCHAR) AS session, alias, original FROM ok")
+def alias_select(spark, sf_dir):
+    return _aliased(spark, sf_dir).select("session", F.explode("legend").alias("l")).select("session", "l.alias", "l.original")
+
+
+@query(f"""WITH {_ALIASES}, tx AS (SELECT session, sum({_tok('text')}) AS b FROM pt GROUP BY session),
+sv AS (SELECT session, sum(({_tok('original')} - {_tok('alias')}) * c) AS s, {_tok("any_value('" + _LEGEND + "')")} + sum({_tok("alias || ' = ' || original")}) AS l FROM ok GROUP BY session)
+SELECT CAST(tx.session AS VARCHAR) AS session, CAST(b AS BIGINT) AS before, CAST(b - coalesce(s, 0) + coalesce(l, 0) AS BIGINT) AS after FROM tx LEFT JOIN sv USING (session)""")
+def alias_apply(spark, sf_dir):
+    return _audited(_aliased(spark, sf_dir))
+
+
+@query(f"WITH {_ALIASES} SELECT CAST(session AS VARCHAR) AS session, count(*) AS messages, CAST(true AS BOOLEAN) AS same FROM pt GROUP BY session")
+def alias_expand_roundtrip(spark, sf_dir):
+    """Whether expanding the aliased messages gives the original ones back."""
+    r = from_turns(path_turns(spark, sf_dir)).withColumn("was", F.transform("messages", lambda m: blocks.content_text(m["content"])))
+    df = stages.alias(_ready(r), ALIAS, F.lit(True))
+    body = F.transform("messages", lambda m, i: F.filter(stages.expand_content(m["content"], F.col("legend")), lambda b, k: ~((i == 0) & (k == 0) & F.startswith(b["text"], F.lit("[ALIAS LEGEND")))))
+    return df.select("session", F.size("messages").cast("long").alias("messages"), (F.transform(body, blocks.content_text) == F.col("was")).alias("same"))
+
+
+# -- machine tables and breakpoints ----------------------------------------------------------------------
+
+
+@query("""SELECT r_regionkey AS id, 'WORKFLOW (compact FSM). current=' || r_name || chr(10) || coalesce(string_agg('  ' || n_name || ': ' || CASE WHEN n_nationkey % 3 = 0 THEN '(terminal)' ELSE 'next->' || r_name || ' back->' || n_nationkey END, chr(10) ORDER BY n_nationkey), '') AS fsm
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""")
+def fsm_table(spark, sf_dir):
+    """Regions as machines whose nodes are their nations."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    edges = F.when(F.col("n_nationkey") % 3 == 0, "{}").otherwise(F.concat(F.lit('{"next":"'), F.col("r_name"), F.lit('","back":"'), F.col("n_nationkey").cast("string"), F.lit('"}')))
+    node = F.struct("n_nationkey", F.concat(F.lit('"'), F.col("n_name"), F.lit('":'), edges).alias("j"))
+    meta = n.groupBy("r_regionkey", "r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(node)), lambda x: x["j"]), ",").alias("s"))
+    text_ = F.concat(F.lit('{"_fsm":{"current":"'), F.col("r_name"), F.lit('","states":{'), F.col("s"), F.lit("}}}"))
+    return meta.select(F.col("r_regionkey").alias("id"), stages.fsm_table(F.from_json(text_, stages.FSM)["_fsm"]).alias("fsm"))
+
+
+@query(f"""WITH {_M}, pr AS (SELECT session, any_value(n) AS n, string_agg(text, chr(10) ORDER BY mi) FILTER (WHERE mi < n - 1) AS p FROM m GROUP BY session)
+SELECT CAST(pr.session AS VARCHAR) AS session, CAST((sys.text IS NOT NULL)::INT + (n >= 2)::INT AS BIGINT) AS marks, substr(sha1(concat_ws(chr(10), nullif(sys.text, ''), coalesce(p, ''))), 1, 12) AS prefix_hash FROM pr LEFT JOIN sys USING (session)""")
+def cache_breakpoints(spark, sf_dir):
+    df = stages.breakpoints(_ready(conversations(spark, sf_dir).where(F.size("messages") > 0)), Breakpoints(), F.lit(True))
+    held = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: x["cache_control"].isNotNull())), F.lit(0))
+    return df.select("session", (held(F.col("system")) + F.aggregate("messages", F.lit(0), lambda s, m: s + held(m["content"]))).cast("long").alias("marks"), "prefix_hash")
+
+
+# -- usage, streams and sessions ------------------------------------------------------------------------
+
+_CALLS = """ca AS (SELECT event_id, user_id, event_type, CAST(floor(value * 100) AS BIGINT) AS i, CASE WHEN event_id % 3 = 0 THEN CAST(floor(value * 100) AS BIGINT) * 2 END AS w,
+  CASE WHEN event_id % 2 = 0 THEN CAST(floor(value * 100) AS BIGINT) * 5 ELSE 0 END AS r, CAST(floor(value) AS BIGINT) AS o FROM events)"""
+
+
+@query(f"WITH {_CALLS} SELECT event_type, count(*) AS calls, CAST(sum(i + coalesce(w, 0) + r) AS BIGINT) AS total_input, round(sum(i * 3e-6 + coalesce(w, 0) * 3e-6 * 1.25 + r * 3e-6 * 0.1 + o * 15e-6), 6) AS cost FROM ca GROUP BY event_type")
+def usage_cost(spark, sf_dir):
+    u = calls(spark, sf_dir).select("event_type", usage.parsed(F.struct(*usage.FIELDS)).alias("u"))
+    return u.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(usage.total_input(F.col("u"))).alias("total_input"), F.round(F.sum(usage.cost(F.col("u"))), 6).alias("cost"))
+
+
+@query(f"""WITH {_CALLS} SELECT user_id AS stream_id, coalesce(arg_max(i, event_id) FILTER (WHERE event_id % 7 < 2), 0) AS input_tokens, CAST(0 AS BIGINT) AS cache_creation_input_tokens,
+coalesce(arg_max(r, event_id) FILTER (WHERE event_id % 7 < 2), 0) AS cache_read_input_tokens, CASE WHEN count(*) FILTER (WHERE event_id % 7 = 5) > 0 THEN arg_max(o, event_id) FILTER (WHERE event_id % 7 = 5) WHEN count(*) FILTER (WHERE event_id % 7 < 2) > 0 THEN 1 ELSE 0 END AS output_tokens FROM ca GROUP BY user_id""")
+def sse_usage(spark, sf_dir):
+    return usage.stream_usage(stream_events(spark, sf_dir))
+
+
+@query("SELECT user_id AS stream_id, string_agg(event_type || ' ', '' ORDER BY event_id) AS text FROM events WHERE event_id % 7 BETWEEN 2 AND 4 GROUP BY user_id")
+def sse_text(spark, sf_dir):
+    from tallyweave.streaming.state import assistant_text
+
+    return assistant_text(stream_events(spark, sf_dir))
+
+
+@query("""SELECT CASE event_id % 6 WHEN 0 THEN 'blank' WHEN 1 THEN 'comment' WHEN 2 THEN 'event' WHEN 3 THEN 'done' WHEN 4 THEN 'json' ELSE 'raw' END AS kind, CASE WHEN event_id % 6 = 4 THEN event_type END AS type, count(*) AS n FROM events GROUP BY ALL""")
+def sse_lines(spark, sf_dir):
+    k = F.col("event_id") % 6
+    line = F.when(k == 0, "").when(k == 1, ": ping").when(k == 2, "event: x").when(k == 3, "data: [DONE]").when(k == 4, F.concat(F.lit('data: {"type":"'), F.col("event_type"), F.lit('"}'))).otherwise("data: {broken")
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), line.alias("line"))
+    return files.event_lines(lines).groupBy("kind", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_M}, {_SPLIT}, {_SUMMARY}, {_TOTALS}, {_FOLDED.replace('TRIGGER', '300')} SELECT CAST(session AS VARCHAR) AS session, before AS tokens_in, after AS tokens_out, greatest(0, before - after) AS saved, CASE WHEN before = 0 THEN 0.0 ELSE round_even(greatest(0, before - after) / before * 100.0, 1) END AS saved_pct FROM ck")
+def metrics_estimate(spark, sf_dir):
+    df = stages.checkpoint(_ready(conversations(spark, sf_dir)), CHECKPOINT, F.lit(True))
+    a = F.get("audit", F.lit(0))
+    return files.estimate_rows(df.select("session", "stream", "audit", a["before"].alias("tokens_in"), a["after"].alias("tokens_out"))).select("session", "tokens_in", "tokens_out", "saved", "saved_pct")
+
+
+@query(f"WITH {_CALLS} SELECT user_id AS session, count(*) AS calls, round(sum(round_even(i * 3e-6 + coalesce(w, 0) * 3e-6 * 1.25 + r * 3e-6 * 0.1 + o * 15e-6, 6)), 2) AS cost_usd FROM ca GROUP BY user_id")
+def metrics_usage(spark, sf_dir):
+    u = calls(spark, sf_dir).select(F.col("user_id").alias("session"), F.struct(*usage.FIELDS).alias("usage"), F.lit(0).cast("long").alias("estimated_input"))
+    return files.usage_rows(u).groupBy("session").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 2).alias("cost_usd"))
+
+
+@query("""WITH s AS (SELECT user_id AS session, max(ts) AS updated_at FROM events GROUP BY user_id), n AS (SELECT max(updated_at) AS now FROM s)
+SELECT session, updated_at FROM s, n WHERE updated_at >= now - INTERVAL 1 DAY ORDER BY updated_at DESC, session LIMIT 50""")
+def session_evict(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.max("ts").alias("updated_at"))
+    now = s.agg(F.max("updated_at")).first()[0]
+    return sessions.evict(s, F.lit(now), 86_400.0, 50)
+
+
+@query(f"""WITH {_M}, f AS (SELECT session, first(text ORDER BY mi) AS t0 FROM m GROUP BY session), s AS (SELECT substr(CAST(m.session AS VARCHAR), 1, 1) AS sig, m.session * 1000 + mi AS seq, {_tok('text')} AS tokens FROM m),
+u AS (SELECT seq, tokens, CASE WHEN seq % 2 = 0 AND row_number() OVER (PARTITION BY sig ORDER BY seq) > 1 THEN tokens * 6 // 10 ELSE 0 END AS cached FROM s)
+SELECT seq, cached AS cache_read_input_tokens, greatest(1, tokens - cached) AS input_tokens, CAST(CASE WHEN tokens < 60 AND tokens % 7 = 0 THEN 1 ELSE (10 + length(CAST(seq AS VARCHAR))) // 4 END AS BIGINT) AS output_tokens FROM u""")
+def mock_usage(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    seq = F.col("session") * 1000 + F.col("mi")
+    c = m.select(seq.alias("seq"), F.substring(F.col("session").cast("string"), 1, 1).alias("first_text"), text.count_tokens(F.col("text")).alias("tokens"), (seq % 2 == 0).alias("breakpoint"), F.concat(F.lit("k"), seq.cast("string")).alias("needle"))
+    return sessions.mock_usage(c).select("seq", "cache_read_input_tokens", "input_tokens", "output_tokens")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """An extension: tumbling event-time windows, which the reference has none of."""
+    e = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
+
+
+# -- evaluation ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_M} SELECT CAST(session AS VARCHAR) AS session, mi, CASE mi % 6 WHEN 0 THEN CASE WHEN contains(text, 'the') THEN 1.0 ELSE 0.0 END WHEN 1 THEN CASE WHEN contains(text, 'the') THEN 0.0 ELSE 1.0 END WHEN 2 THEN CASE WHEN regexp_matches(text, '[Aa]n? ') THEN 1.0 ELSE 0.0 END
+WHEN 3 THEN 1.0 WHEN 4 THEN CASE WHEN contains(text, 'e') AND contains(text, 'the') THEN 1.0 ELSE 0.0 END END AS score FROM m""")
+def objective_scores(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ["contains", "not_contains", "regex", "exact", "all_of", "unknown"])), (F.col("mi") % 6 + 1).cast("int"))
+    t = F.coalesce("text", F.lit(""))
+    check = F.struct(kind.alias("type"), F.when(kind == "exact", F.concat(F.lit(" "), t, F.lit("\n"))).otherwise("the").alias("value"), F.lit("[Aa]n? ").alias("pattern"), F.array(F.lit("e"), F.lit("the")).alias("values"))
+    return messages(spark, sf_dir).select(F.col("session").cast("string").alias("session"), "mi", evaluate.objective_score(check, t).alias("score"))
+
+
+@query("""WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' WHEN 3 THEN 'A' WHEN 4 THEN 'tie' ELSE 'B' END AS v, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 32, 1)) AS INTEGER) % 2 = 1 AS s FROM labels)
+SELECT doc_id, CASE WHEN v = 'tie' THEN 'tie' WHEN (v = 'A') = s THEN 'compressed' ELSE 'baseline' END AS verdict, CASE WHEN v = 'tie' THEN 0.5 WHEN (v = 'A') = s THEN 1.0 ELSE 0.0 END AS compressed FROM r""")
+def pairwise_verdicts(spark, sf_dir):
+    k = F.col("doc_id") % 6
+    raw = F.when(k == 0, 'I say {"winner":"A","reason":"x"}').when(k == 1, '{"winner": "B"}').when(k == 2, '{"winner":"C"}').when(k == 3, 'the WINNER is "a" {').when(k == 4, "cannot tell").otherwise('winner: "b"')
+    p = evaluate.pairwise(raw, evaluate.swapped(F.col("doc_id")))
+    return table(spark, sf_dir, "labels").select("doc_id", p["verdict"].alias("verdict"), p["compressed"].alias("compressed"))
+
+
+_ARMS = "ar AS (SELECT l_returnflag AS config, CAST(l_linenumber AS BIGINT) AS turn, CAST(floor(l_extendedprice) AS BIGINT) AS b, CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS c FROM lineitem)"
+
+
+@query(f"WITH {_ARMS}, s AS (SELECT config, count(*) AS n, avg(CASE WHEN b = 0 THEN 0.0 ELSE 100.0 * (b - c) / b END) AS p, avg(b * 3e-6) AS x, avg(c * 3e-6) AS y FROM ar GROUP BY config) SELECT config, n, round(p, 6) AS mean_saved_pct, round(x, 6) AS mean_cost_baseline, round(y, 6) AS mean_cost_compressed, round(100.0 * (x - y) / x, 6) AS mean_cost_reduction_pct FROM s")
+def savings_report(spark, sf_dir):
+    r = evaluate.savings_report(arms(spark, sf_dir), "config")
+    return r.select("config", "n", *(F.round(c, 6).alias(c) for c in r.columns if c not in ("config", "n")))
+
+
+@query(f"WITH {_ARMS} SELECT turn, round(avg(100.0 * (b - c) / b), 6) AS saved_pct FROM ar WHERE b <> 0 GROUP BY turn")
+def savings_by_turn(spark, sf_dir):
+    return evaluate.savings_by_turn(arms(spark, sf_dir)).withColumn("saved_pct", F.round("saved_pct", 6))
+
+
+_SCORES = "sc AS (SELECT CAST(quality AS DOUBLE) AS b, 1.0 - toxic AS c FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)"
+
+
+@query(f"WITH {_SCORES} SELECT count(*) AS n, round(avg(b), 9) AS mean_baseline, round(avg(c), 9) AS mean_compressed, round(avg(b - c), 9) AS mean_loss, count(*) FILTER (WHERE b - c < -1e-9) AS wins, count(*) FILTER (WHERE abs(b - c) <= 1e-9) AS ties, count(*) FILTER (WHERE b - c > 1e-9) AS losses FROM sc")
+def quality_report(spark, sf_dir):
+    q = evaluate.quality_report(scores(spark, sf_dir))
+    return q.select("n", *(F.round(c, 9).alias(c) for c in ("mean_baseline", "mean_compressed", "mean_loss")), "wins", "ties", "losses")
+
+
+@query(f"""WITH {_SCORES}, v AS (SELECT CAST(b - c AS DOUBLE) AS v, row_number() OVER (ORDER BY b - c) - 1 AS p FROM sc), n AS (SELECT count(*) AS n FROM v),
+d AS (SELECT it, CAST(('0x' || substr(md5(it || ':' || k), 1, 8)) AS BIGINT) % n AS p FROM n, (SELECT unnest(range(10000)) AS it), (SELECT unnest(range((SELECT n FROM n))) AS k)),
+me AS (SELECT it, sum(v.v) / any_value(n) AS m FROM d JOIN v USING (p), n GROUP BY it), so AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM me)
+SELECT any_value(n) AS n, round((SELECT avg(v) FROM v), 9) AS mean, round(max(m) FILTER (WHERE k = 250), 9) AS lo, round(max(m) FILTER (WHERE k = 9750), 9) AS hi FROM so, n""")
+def bootstrap_ci(spark, sf_dir):
+    d = scores(spark, sf_dir).select((F.col("baseline_score") - F.col("compressed_score")).alias("loss"))
+    return evaluate.bootstrap_ci(d, "loss").select("n", *(F.round(c, 9).alias(c) for c in ("mean", "lo", "hi")))
+
+
+# -- the whole pipeline ---------------------------------------------------------------------------------------
+
+
+# Folding leaves at most two messages beside the checkpoint, which are protected: dedup then has nothing to do.
+_ALL = f"""{_M}, {_SPLIT}, {_SUMMARY}, {_TOTALS}, {_FOLDED.replace('TRIGGER', '400')}, {_GREEDY}, {_DROPPED},
+al AS (SELECT ck.session, before AS tokens, before >= 300 AS whole, after AS folded, CASE WHEN folds THEN after ELSE before - coalesce(saved, 0) END AS both, before - coalesce(saved, 0) AS deduped FROM ck LEFT JOIN dr USING (session))"""
+
+
+@query(f"""WITH RECURSIVE {_ALL},
+au AS (SELECT session, 0 AS step, 'checkpoint_compression' AS name, tokens AS before, folded AS after FROM al WHERE whole
+  UNION ALL SELECT session, 1, 'semantic_dedup', folded, both FROM al WHERE whole
+  UNION ALL SELECT session, CASE WHEN whole THEN 2 ELSE 0 END, 'cache_breakpoints', CASE WHEN whole THEN both ELSE tokens END, CASE WHEN whole THEN both ELSE tokens END FROM al)
+SELECT CAST(session AS VARCHAR) AS session, CAST(step AS INTEGER) AS step, name, before, after, greatest(0, before - after) AS saved FROM au""")
+def pipeline_audit(spark, sf_dir):
+    """Every stage that ran on every conversation, with sizes before and after."""
+    return pipeline.audit_rows(pipeline.compress(conversations(spark, sf_dir), CONFIG)).drop("request_id", "note")
+
+
+@query(f"""WITH RECURSIVE {_ALL}, co AS (SELECT 'full' AS config, tokens, CASE WHEN whole THEN both ELSE tokens END AS o FROM al
+  UNION ALL SELECT 'no checkpoint', tokens, CASE WHEN whole THEN deduped ELSE tokens END FROM al UNION ALL SELECT 'no dedup', tokens, CASE WHEN whole THEN folded ELSE tokens END FROM al
+  UNION ALL SELECT 'no breakpoints', tokens, CASE WHEN whole THEN both ELSE tokens END FROM al)
+SELECT config, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out FROM co GROUP BY config""")
+def ablation_report(spark, sf_dir):
+    """Savings of the pipeline, and of the pipeline without each of three stages."""
+    return pipeline.ablations(conversations(spark, sf_dir), CONFIG).groupBy("config").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["pipeline_audit"](spark, sf_dir)
+    return pipeline_audit(spark, sf_dir)

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -127,3 +129,54 @@ def dynamic_threshold(base: Column, tokens: Column, limit: int = 180_000, lexica
     """Lowered as a request fills its context, capped for lexical vectors, within [0.80, 0.97]."""
     t = base - 0.13 * F.greatest(F.lit(0.0), (tokens / F.lit(float(limit)) - 0.5) * 2.0)
     return F.least(F.greatest(F.least(t, F.lit(0.90)) if lexical else t, F.lit(0.80)), F.lit(0.97))
+
+
+#: Query vectors that are broadcast together.
+QUERY_BLOCK = 4096
+
+
+def top_cosines(vectors: DataFrame, k: int, query: Column, block: int | None = None) -> DataFrame:
+    """(vec_id, other, cos, rank): the k nearest of each row that ``query`` selects, against all rows.
+
+    ``vectors`` (vec_id, embedding).  Queries are broadcast a block of bounded size at a
+    time; each task keeps the k best of its rows for each query, so what is shuffled is k
+    rows for each query and task.  Null and zero vectors are near to nothing.
+    """
+    block = block or QUERY_BLOCK
+    sc = vectors.sparkSession.sparkContext
+    rows = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = rows.where(query)
+    n = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(n):
+        own = asked if n == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b)
+        got = own.collect()
+        q = np.array([r[1] for r in got], float).reshape(len(got), -1)
+        size = np.linalg.norm(q, axis=1)
+        shared = sc.broadcast((np.array([r[0] for r in got]), np.divide(q, size[:, None], out=np.zeros_like(q), where=size[:, None] > 0)))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best: tuple | None = None
+            for batch in batches:
+                if not len(batch) or not len(ids):
+                    continue
+                other = batch.column(0).to_numpy()
+                x = np.array(batch.column(1).to_pylist(), float)
+                norm = np.linalg.norm(x, axis=1)
+                x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+                cos = np.round(q @ x.T, 9)
+                cos[ids[:, None] == other[None, :]] = -np.inf
+                o = np.broadcast_to(other, cos.shape)
+                if best is not None:
+                    cos, o = np.concatenate([best[0], cos], 1), np.concatenate([best[1], o], 1)
+                keep = np.lexsort((o, -cos), axis=1)[:, :k]
+                best = np.take_along_axis(cos, keep, 1), np.take_along_axis(o, keep, 1)
+            if best is not None:
+                ok = np.isfinite(best[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(best[1][ok]), pa.array(best[0][ok])], ["vec_id", "other", "cos"])
+
+        part = rows.mapInArrow(near, "vec_id long, other long, cos double")
+        out = part if out is None else out.unionByName(part)
+    w = W.partitionBy("vec_id").orderBy(F.desc("cos"), "other")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

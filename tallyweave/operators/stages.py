@@ -162,6 +162,21 @@ def _verdicts(cfg: Dedup):
     return verdicts
 
 
+def dedup_candidates(cfg: Dedup) -> Column:
+    """(mi, bi, text) of the texts of a request that take part."""
+    n = F.size("messages")
+    body = lambda b: F.when(b["type"] == "text", F.coalesce(b["text"], F.lit(""))).when(b["type"] == "tool_result", blocks.result_text(b))
+    fit = lambda t: (text.count_tokens(t) >= cfg.min_block_tokens) & ~t.contains(MARK)
+    return F.flatten(F.transform("messages", lambda m, mi: F.filter(F.transform(m["content"], lambda b, bi: F.struct(mi.alias("mi"), bi.alias("bi"), F.when(mi < n - cfg.protect_last, body(b)).alias("text"))), lambda c: c["text"].isNotNull() & fit(c["text"]))))
+
+
+def dedup_verdicts(requests: DataFrame, cfg: Dedup) -> DataFrame:
+    """(session, mi, bi, threshold, kept) of the texts that take part in dedup."""
+    df = let(requests, before=blocks.request_tokens(), cand=dedup_candidates(cfg))
+    df = df.withColumn("v", _verdicts(cfg)(F.transform("cand", lambda c: c["text"]), F.col("before")))
+    return df.select("session", "v", F.posexplode("cand").alias("i", "c")).select("session", F.col("c.mi").alias("mi"), F.col("c.bi").alias("bi"), F.col("v.threshold").alias("threshold"), F.array_contains("v.kept", F.col("i")).alias("kept"))
+
+
 def dedup(df: DataFrame, cfg: Dedup, run: Column) -> DataFrame:
     """Replace later near-copies of earlier texts and tool results by a stub.
 
@@ -169,11 +184,7 @@ def dedup(df: DataFrame, cfg: Dedup, run: Column) -> DataFrame:
     checkpoints, take part.  All pairs of one request are compared in one Arrow batch call.
     """
     df = let(df, __before=blocks.request_tokens())
-    n = F.size("messages")
-    body = lambda b: F.when(b["type"] == "text", F.coalesce(b["text"], F.lit(""))).when(b["type"] == "tool_result", blocks.result_text(b))
-    fit = lambda t: (text.count_tokens(t) >= cfg.min_block_tokens) & ~t.contains(MARK)
-    found = F.flatten(F.transform("messages", lambda m, mi: F.filter(F.transform(m["content"], lambda b, bi: F.struct(mi.alias("mi"), bi.alias("bi"), F.when(mi < n - cfg.protect_last, body(b)).alias("text"))), lambda c: c["text"].isNotNull() & fit(c["text"]))))
-    df = let(df, __cand=F.when(run, found))
+    df = let(df, __cand=F.when(run, dedup_candidates(cfg)))
     df = df.withColumn("__v", _verdicts(cfg)(F.transform("__cand", lambda c: c["text"]), F.col("__before")))
     drop = F.filter("__cand", lambda c, i: ~F.array_contains(F.col("__v.kept"), i))
     df = let(df, __drop=F.transform(drop, lambda c: F.struct(c["mi"].alias("mi"), c["bi"].alias("bi"))))
