@@ -534,7 +534,7 @@ def quality_report(spark, sf_dir):
 
 
 @query(f"""WITH {_SCORES}, v AS (SELECT CAST(b - c AS DOUBLE) AS v, row_number() OVER (ORDER BY b - c) - 1 AS p FROM sc), n AS (SELECT count(*) AS n FROM v),
-d AS (SELECT it, CAST(('0x' || substr(md5(it || ':' || k), 1, 8)) AS BIGINT) % n AS p FROM n, (SELECT unnest(range(10000)) AS it), (SELECT unnest(range((SELECT n FROM n))) AS k)),
+d AS (SELECT it, CAST(('0x' || substr(md5(it || ':' || (k // 4)), CAST(1 + 8 * (k % 4) AS BIGINT), 8)) AS BIGINT) % n AS p FROM n, (SELECT unnest(range(10000)) AS it), (SELECT unnest(range((SELECT n FROM n))) AS k)),
 me AS (SELECT it, sum(v.v) / any_value(n) AS m FROM d JOIN v USING (p), n GROUP BY it), so AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS k FROM me)
 SELECT any_value(n) AS n, round((SELECT avg(v) FROM v), 9) AS mean, round(max(m) FILTER (WHERE k = 250), 9) AS lo, round(max(m) FILTER (WHERE k = 9750), 9) AS hi FROM so, n""")
 def bootstrap_ci(spark, sf_dir):
@@ -547,22 +547,22 @@ def bootstrap_ci(spark, sf_dir):
 
 # Folding leaves at most two messages beside the checkpoint, which are protected: dedup then has nothing to do.
 _ALL = f"""{_M}, {_SPLIT}, {_SUMMARY}, {_TOTALS}, {_FOLDED.replace('TRIGGER', '400')}, {_GREEDY}, {_DROPPED},
-al AS (SELECT ck.session, before AS tokens, before >= 300 AS whole, after AS folded, CASE WHEN folds THEN after ELSE before - coalesce(saved, 0) END AS both, before - coalesce(saved, 0) AS deduped FROM ck LEFT JOIN dr USING (session))"""
+al AS (SELECT ck.session, before AS tokens, before >= 300 AS whole, after AS folded, CASE WHEN folds THEN after ELSE before - coalesce(saved, 0) END AS res, before - coalesce(saved, 0) AS deduped FROM ck LEFT JOIN dr USING (session))"""
 
 
 @query(f"""WITH RECURSIVE {_ALL},
 au AS (SELECT session, 0 AS step, 'checkpoint_compression' AS name, tokens AS before, folded AS after FROM al WHERE whole
-  UNION ALL SELECT session, 1, 'semantic_dedup', folded, both FROM al WHERE whole
-  UNION ALL SELECT session, CASE WHEN whole THEN 2 ELSE 0 END, 'cache_breakpoints', CASE WHEN whole THEN both ELSE tokens END, CASE WHEN whole THEN both ELSE tokens END FROM al)
+  UNION ALL SELECT session, 1, 'semantic_dedup', folded, res FROM al WHERE whole
+  UNION ALL SELECT session, CASE WHEN whole THEN 2 ELSE 0 END, 'cache_breakpoints', CASE WHEN whole THEN res ELSE tokens END, CASE WHEN whole THEN res ELSE tokens END FROM al)
 SELECT CAST(session AS VARCHAR) AS session, CAST(step AS INTEGER) AS step, name, before, after, greatest(0, before - after) AS saved FROM au""")
 def pipeline_audit(spark, sf_dir):
     """Every stage that ran on every conversation, with sizes before and after."""
     return pipeline.audit_rows(pipeline.compress(conversations(spark, sf_dir), CONFIG)).drop("request_id", "note")
 
 
-@query(f"""WITH RECURSIVE {_ALL}, co AS (SELECT 'full' AS config, tokens, CASE WHEN whole THEN both ELSE tokens END AS o FROM al
+@query(f"""WITH RECURSIVE {_ALL}, co AS (SELECT 'full' AS config, tokens, CASE WHEN whole THEN res ELSE tokens END AS o FROM al
   UNION ALL SELECT 'no checkpoint', tokens, CASE WHEN whole THEN deduped ELSE tokens END FROM al UNION ALL SELECT 'no dedup', tokens, CASE WHEN whole THEN folded ELSE tokens END FROM al
-  UNION ALL SELECT 'no breakpoints', tokens, CASE WHEN whole THEN both ELSE tokens END FROM al)
+  UNION ALL SELECT 'no breakpoints', tokens, CASE WHEN whole THEN res ELSE tokens END FROM al)
 SELECT config, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out FROM co GROUP BY config""")
 def ablation_report(spark, sf_dir):
     """Savings of the pipeline, and of the pipeline without each of three stages."""

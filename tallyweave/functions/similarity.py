@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,19 +69,24 @@ def cosines(vectors: np.ndarray) -> np.ndarray:
     return np.round(np.minimum(np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0), 1.0), 9)
 
 
+def _all_pairs(texts: pd.Series) -> pd.Series:
+    out = []
+    for ts in texts:
+        cos = cosines(np.stack([vector(t or "") for t in ts]))
+        out.append([{"i": i, "j": j, "cos": float(cos[i, j])} for i in range(len(ts)) for j in range(i + 1, len(ts))])
+    return pd.Series(out)
+
+
 def pair_cosines(items: DataFrame, group: str, order: str) -> DataFrame:
     """(group, i, j, cos) for i before j in each group of items (group, order, text).
 
-    Groups are sessions, so pairs grow with the number of sessions, not its square.  Pairs
-    without a shared bucket have cosine 0.
+    A group is a session, which is a row of bounded size here as everywhere: pairs grow with
+    the number of sessions, not with its square.  One Arrow call compares all pairs of a
+    session; pairs without a shared bucket have cosine 0.
     """
-    vec = buckets(items, group, order).groupBy(group, order).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("v"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    every = items.select(group, order).join(vec, [group, order], "left")
-    a = every.select(group, F.col(order).alias("i"), F.col("v").alias("x"), F.col("sq").alias("sx"))
-    b = every.select(group, F.col(order).alias("j"), F.col("v").alias("y"), F.col("sq").alias("sy"))
-    dot = F.aggregate(F.map_entries("x"), F.lit(0).cast("long"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("y"), e["key"]), F.lit(0)))
-    cos = F.round(F.least(F.coalesce(F.try_divide(dot, F.sqrt((F.col("sx") * F.col("sy")).cast("double"))), F.lit(0.0)), F.lit(1.0)), 9)
-    return a.join(b, group).where("i < j").select(group, "i", "j", cos.alias("cos"))
+    row = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t")))).alias("x"))
+    pairs = row.withColumn("p", F.pandas_udf(_all_pairs, "array<struct<i:int,j:int,cos:double>>")(F.transform("x", lambda e: e["t"]))).select(group, "x", F.explode("p").alias("p"))
+    return pairs.select(group, F.get("x", F.col("p.i"))["o"].alias("i"), F.get("x", F.col("p.j"))["o"].alias("j"), F.col("p.cos").alias("cos"))
 
 
 def histogram(pairs: DataFrame, *keys: str) -> DataFrame:
