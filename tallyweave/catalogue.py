@@ -492,8 +492,8 @@ def event_windows(spark, sf_dir):
 # -- evaluation ---------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {_M} SELECT CAST(session AS VARCHAR) AS session, mi, CASE mi % 6 WHEN 0 THEN CASE WHEN contains(text, 'the') THEN 1.0 ELSE 0.0 END WHEN 1 THEN CASE WHEN contains(text, 'the') THEN 0.0 ELSE 1.0 END WHEN 2 THEN CASE WHEN regexp_matches(text, '[Aa]n? ') THEN 1.0 ELSE 0.0 END
-WHEN 3 THEN 1.0 WHEN 4 THEN CASE WHEN contains(text, 'e') AND contains(text, 'the') THEN 1.0 ELSE 0.0 END END AS score FROM m""")
+@query(f"""WITH {_M} SELECT CAST(session AS VARCHAR) AS session, mi, CAST(CASE mi % 6 WHEN 0 THEN CASE WHEN contains(text, 'the') THEN 1.0 ELSE 0.0 END WHEN 1 THEN CASE WHEN contains(text, 'the') THEN 0.0 ELSE 1.0 END WHEN 2 THEN CASE WHEN regexp_matches(text, '[Aa]n? ') THEN 1.0 ELSE 0.0 END
+WHEN 3 THEN 1.0 WHEN 4 THEN CASE WHEN contains(text, 'e') AND contains(text, 'the') THEN 1.0 ELSE 0.0 END END AS DOUBLE) AS score FROM m""")
 def objective_scores(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ["contains", "not_contains", "regex", "exact", "all_of", "unknown"])), (F.col("mi") % 6 + 1).cast("int"))
     t = F.coalesce("text", F.lit(""))
@@ -502,7 +502,7 @@ def objective_scores(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'tie' WHEN 3 THEN 'A' WHEN 4 THEN 'tie' ELSE 'B' END AS v, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 32, 1)) AS INTEGER) % 2 = 1 AS s FROM labels)
-SELECT doc_id, CASE WHEN v = 'tie' THEN 'tie' WHEN (v = 'A') = s THEN 'compressed' ELSE 'baseline' END AS verdict, CASE WHEN v = 'tie' THEN 0.5 WHEN (v = 'A') = s THEN 1.0 ELSE 0.0 END AS compressed FROM r""")
+SELECT doc_id, CASE WHEN v = 'tie' THEN 'tie' WHEN (v = 'A') = s THEN 'compressed' ELSE 'baseline' END AS verdict, CAST(CASE WHEN v = 'tie' THEN 0.5 WHEN (v = 'A') = s THEN 1.0 ELSE 0.0 END AS DOUBLE) AS compressed FROM r""")
 def pairwise_verdicts(spark, sf_dir):
     k = F.col("doc_id") % 6
     raw = F.when(k == 0, 'I say {"winner":"A","reason":"x"}').when(k == 1, '{"winner": "B"}').when(k == 2, '{"winner":"C"}').when(k == 3, 'the WINNER is "a" {').when(k == 4, "cannot tell").otherwise('winner: "b"')
