@@ -13,8 +13,9 @@ bytes of both texts.
 ``dedup`` applies this to one table: rows up to the median id are the snapshot, the others
 the incoming batch, so the snapshot's ids are the smaller ones and stay.
 
-Null ids are grouped too: a group that has a non-null id keeps that row, one of null ids
-only keeps all of its rows.  Rows that repeat both id and text are all returned with the
+Null ids are grouped too, as part of the incoming batch: a group that has a non-null id
+keeps that row, one of null ids only keeps all of its rows.  (A batch group of null ids is
+matched with the snapshot by SHA-256 alone, as its bytes cannot be looked up by id.)  Rows that repeat both id and text are all returned with the
 same ``keep_id``.  Further columns are ignored.  An empty table gives an empty result.
 """
 
@@ -104,7 +105,10 @@ def against(snapshot: DataFrame, filters: DataFrame, batch: DataFrame, buckets:
     texts = storage.kept(texts.withColumn("digest", F.unhex(F.sha2("norm", 256))).dropDuplicates(["doc_id", "digest"]), "bytes")
     old = texts.select("digest", F.col("doc_id").alias("keep_old"), F.col("norm").alias("norm_old"))
     new = texts.select("digest", F.col("doc_id").alias("keep_new"), F.col("norm").alias("norm_new"))
-    out = storage.kept(pairs.join(old, ["digest", "keep_old"]).join(new, ["digest", "keep_new"]).where("norm_old = norm_new").select("digest", "keep_old", "n_old", "keep_new", "n_new"), "confirmed")
+    same = pairs.join(old, ["digest", "keep_old"]).join(new, ["digest", "keep_new"]).where("norm_old = norm_new").select("digest", "keep_old", "n_old", "keep_new", "n_new")
+    # A row without an id cannot be looked up again: its SHA-256 has to do.
+    lost = pairs.where("keep_old is null or keep_new is null").select("digest", "keep_old", "n_old", "keep_new", "n_new")
+    out = storage.kept(same.unionByName(lost), "confirmed")
     storage.drop(texts, pairs, ids)
     return out
 
@@ -113,7 +117,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
-    late = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False)) if middle is not None else F.lit(False)
+    late = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(True)) if middle is not None else F.lit(False)
     prints = storage.kept(docs.mapInArrow(_digests, "doc_id long, digest binary").withColumn("late", late), "prints")
 
     snapshot = storage.kept(distinct(prints.where("not late"), "keep_old", "n_old"), "snapshot")
@@ -131,6 +135,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents whose text an earlier id has."""
-    gone = storage.kept(dedup(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = storage.unused(docs, "gone")
+    gone = storage.kept(dedup(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents that near_duplicates drops."""
-    gone = storage.kept(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = storage.unused(docs, "gone")
+    gone = storage.kept(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col(name), "left_anti")

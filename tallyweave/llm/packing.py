@@ -184,8 +184,9 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 0, capacity: int = CAPAC
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (a column ``length`` from 1 to ``capacity``, and any others) with sequence_id and offset."""
-    items = storage.kept(items, "pieces")
+    """``items`` (a column ``length`` from 1 to ``capacity``, and any others) with sequence_id
+    and offset; columns of these two names are replaced."""
+    items = storage.kept(items.drop("sequence_id", "offset"), "pieces")
     count = [0] * (capacity + 1)
     for r in items.groupBy("length").count().collect():  # at most ``capacity`` rows
         count[r[0]] = r[1]
@@ -195,9 +196,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     parts = F.element_at(F.array(*[F.lit(max(1, -(-n // PART))) for n in count[1:]]), F.col("length").cast("int"))
     others = [c for c in items.columns if c != "length"]
-    dealt = items.withColumn("__part", F.pmod(F.xxhash64(*others), parts) if others else F.lit(0))
-    first = dealt.groupBy("length", "__part").count().withColumn("__first", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = dealt.withColumn("__row", F.row_number().over(W.partitionBy("length", "__part").orderBy("length"))).join(first, ["length", "__part"]).withColumn("__rank", F.col("__first") + F.col("__row") - 1).select(*items.columns, "__rank")
+    part, first, row, rank = (storage.unused(items, x) for x in ("part", "first", "row", "rank"))
+    dealt = items.withColumn(part, F.pmod(F.xxhash64(*others), parts) if others else F.lit(0))
+    before = F.sum("count").over(W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    starts = dealt.groupBy("length", part).count().select("length", part, F.coalesce(before, F.lit(0)).alias(first))
+    rows = dealt.withColumn(row, F.row_number().over(W.partitionBy("length", part).orderBy("length")))
+    ranked = rows.join(starts, ["length", part]).select(*items.columns, (F.col(first) + F.col(row) - 1).alias(rank))
     n = len(items.columns)
     at = items.columns.index("length")
 

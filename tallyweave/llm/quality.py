@@ -36,7 +36,7 @@ THRESHOLD = 0.3
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 12
 BLOCK = 256
 #: Bytes that go through the filters at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _blocks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +76,26 @@ class Net:
         self.w1, self.b1 = draw(0.3, FILTERS + 2, HIDDEN), np.zeros(HIDDEN, np.float32)
         self.w2, self.b2 = draw(0.3, 2 * HIDDEN), np.zeros(1, np.float32)
 
-    def pooled(self, x: np.ndarray, blocks: int, where: bool = False):
-        """Each filter's maximum over each block, and its place if asked for."""
+    def _parts(self, x: np.ndarray, at: np.ndarray, where: bool = False) -> list:
+        """``pooled`` of all blocks, a slice at a time."""
+        blocks, step = int(at[-1]), SLICE // BLOCK
+        last = np.zeros(blocks, bool)
+        last[at[1:] - 1] = True
+        return [self.pooled(x[k * BLOCK : min(k + step, blocks) * BLOCK + WIDTH], last[k : k + step], where) for k in range(0, blocks, step)]
+
+    def pooled(self, x: np.ndarray, last: np.ndarray, where: bool = False):
+        """Each filter's maximum over each block, and its place if asked for.
+
+        ``last`` marks the blocks that end a text.  Windows that reach beyond such a block
+        begin after the text's own zero bytes, so they hold nothing of it: they count as
+        the zeros that they would be without the next text.
+        """
+        blocks = len(last)
         e = self.emb[x]
         per = BLOCK // STRIDE
         patches = np.lib.stride_tricks.as_strided(e, (blocks * per, WIDTH * EMBED), (STRIDE * EMBED * 4, 4), writeable=False)
         y = (np.ascontiguousarray(patches) @ self.conv).reshape(blocks, per, FILTERS)
+        y[last, per - (WIDTH - 1) // STRIDE :] = 0
         if not where:
             return y.max(1), None
         at = y.argmax(1)
@@ -97,8 +111,7 @@ class Net:
         return join(block[first], block[second]), offs
 
     def features(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        blocks = int(at[-1])
-        top = np.concatenate([self.pooled(x[k * BLOCK : min(k + SLICE // BLOCK, blocks) * BLOCK + WIDTH], min(SLICE // BLOCK, blocks - k))[0] for k in range(0, blocks, SLICE // BLOCK)])
+        top = np.concatenate([p[0] for p in self._parts(x, at)])
         act, offs = self.chunks(np.maximum(top + self.bias, 0), at, np.maximum)
         return np.concatenate([act, self.aside(x, at)], 1), offs
 
@@ -153,7 +166,7 @@ class Net:
 
     def _gradient(self, x: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         blocks = int(at[-1])
-        parts = [self.pooled(x[k * BLOCK : min(k + SLICE // BLOCK, blocks) * BLOCK + WIDTH], min(SLICE // BLOCK, blocks - k), True) for k in range(0, blocks, SLICE // BLOCK)]
+        parts = self._parts(x, at, True)
         top, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         place = place * STRIDE + np.arange(blocks)[:, None] * BLOCK
         n = np.maximum(np.diff(at) - 1, 1)

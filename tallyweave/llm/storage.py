@@ -35,6 +35,15 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: a worker and its JVM each hold a batch or two of whole texts.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to ``BATCH_ROWS``; queries over long texts call it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def kept(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
     path = fresh(df.sparkSession, tag)
@@ -44,6 +53,14 @@ def kept(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no column of it."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what :func:`kept` wrote, once no later plan reads it."""
     for t in tables:
