@@ -569,5 +569,20 @@ def ablation_report(spark, sf_dir):
     return pipeline.ablations(conversations(spark, sf_dir), CONFIG).groupBy("config").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
 
 
+@query()
+def replay_savings(spark, sf_dir):
+    """Savings by turn when every user turn of every conversation is sent again, compressed."""
+    r = pipeline.replay(conversations(spark, sf_dir), CONFIG)
+    return r.groupBy("turn").agg(F.count("*").alias("n"), F.sum("baseline_input").alias("baseline_input"), F.sum("compressed_input").alias("compressed_input"))
+
+
+@query("SELECT a.vec_id, b.vec_id AS other, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def neighbour_cosine(spark, sf_dir):
+    """The cosine of each vector with the next one."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("next"))
+    return e.join(b, "vec_id").select("vec_id", "other", F.round(similarity.cosine(F.col("embedding"), F.col("next")), 6).alias("cos"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline_audit(spark, sf_dir)

@@ -89,6 +89,13 @@ def pair_cosines(items: DataFrame, group: str, order: str) -> DataFrame:
     return pairs.select(group, F.get("x", F.col("p.i"))["o"].alias("i"), F.get("x", F.col("p.j"))["o"].alias("j"), F.col("p.cos").alias("cos"))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two numeric arrays; arrays of different lengths are an error."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    same = F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.raise_error("arrays of different lengths"))
+    return F.coalesce(F.try_divide(same, F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+
+
 def histogram(pairs: DataFrame, *keys: str) -> DataFrame:
     """(keys, bin, n): cosines by hundredths of [0, 1], the last bin closed; others are left out."""
     inside = pairs.where("cos >= 0 and cos <= 1")

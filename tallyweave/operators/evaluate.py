@@ -48,6 +48,20 @@ def pairwise(raw: Column, swap: Column) -> Column:
     return F.when(v == "tie", F.struct(F.lit(0.5).alias("baseline"), F.lit(0.5).alias("compressed"), F.lit("tie").alias("verdict"))).otherwise(F.struct(F.when(won, 0.0).otherwise(1.0).alias("baseline"), F.when(won, 1.0).otherwise(0.0).alias("compressed"), F.when(won, "compressed").otherwise("baseline").alias("verdict")))
 
 
+def judge_prompt(rubric: Column, baseline: Column, compressed: Column, swap: Column) -> Column:
+    """What a judge is asked: two answers without names, the compressed one first if ``swap``."""
+    a, b = F.when(swap, compressed).otherwise(baseline), F.when(swap, baseline).otherwise(compressed)
+    head = 'Two answers to one task follow. Say which meets the task better, whatever their length or style. Reply with JSON only: {"winner":"A"|"B"|"tie","reason":"..."}.'
+    return F.concat(F.lit(head + "\n\nTASK:\n"), rubric, F.lit("\n\nANSWER A:\n"), a, F.lit("\n\nANSWER B:\n"), b)
+
+
+def final_scores(scores: DataFrame, *keys: str) -> DataFrame:
+    """The scores of the last scored turn of each task (keys, turn, baseline_score, compressed_score)."""
+    both = scores.where("baseline_score is not null and compressed_score is not null")
+    last = both.groupBy(*keys).agg(F.max_by(F.struct("baseline_score", "compressed_score"), "turn").alias("s"))
+    return last.select(*keys, "s.baseline_score", "s.compressed_score")
+
+
 def overridden(task_check: Column, turn_check: Column) -> Column:
     """A turn's check if it has one, else its task's."""
     return F.coalesce(turn_check, task_check)

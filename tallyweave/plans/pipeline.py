@@ -58,3 +58,15 @@ def ablations(requests: DataFrame, cfg: Config) -> DataFrame:
         part = compress(requests, c).select(F.lit(name).alias("config"), "session", "request_id", "tier", "tokens_in", "tokens_out")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def replay(requests: DataFrame, cfg: Config) -> DataFrame:
+    """Each user turn of recorded conversations as it was sent, plain and compressed.
+
+    (session, turn, baseline_input, compressed_input, tier), where a turn's request holds
+    the conversation up to it.  Replies are those of the recording, in both arms.
+    """
+    turns = requests.select("*", F.posexplode("messages").alias("turn", "said")).where("said.role = 'user'")
+    sent = turns.drop("said").withColumn("messages", F.slice("messages", F.lit(1), F.col("turn") + 1))
+    out = compress(sent, cfg)
+    return out.select("session", F.col("turn").cast("long").alias("turn"), F.col("tokens_in").alias("baseline_input"), F.col("tokens_out").alias("compressed_input"), "tier")

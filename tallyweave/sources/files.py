@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,27 @@ def usage_rows(calls: DataFrame) -> DataFrame:
 
 def write_metrics(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+STATE = "session string, created_at double, updated_at double, legend array<struct<alias:string,original:string>>, checkpoint_text string, checkpoint_covers int, checkpoint_hash string, seen map<string,long>"
+
+
+def save_state(states: DataFrame, path: str) -> None:
+    """Write a snapshot of session states beside ``path`` and move it there, so that a
+    reader finds the old one or the new one, whole."""
+    spark = states.sparkSession
+    new = f"{path}.{uuid.uuid4().hex}"
+    states.write.parquet(new)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    fs.rename(hadoop(new), hadoop(path))
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot at ``path`` with the columns of ``STATE``: unknown ones are dropped,
+    missing ones are null, and without a snapshot it is empty."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(path)

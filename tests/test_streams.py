@@ -123,3 +123,19 @@ def test_metrics(spark, tmp_path):
     files.write_metrics(rows, str(tmp_path / "m"))
     back = spark.read.json(str(tmp_path / "m"))
     assert back.count() == 2 and back.first().cost_usd == 3.00003 and back.first().total_input == 1_000_100
+
+
+def test_state_snapshots(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    assert files.load_state(spark, path).count() == 0
+    for n in (1, 2):
+        files.save_state(spark.range(n).select(F.col("id").cast("string").alias("session"), F.lit("x").alias("unknown"), F.lit("h").alias("checkpoint_hash")), path)
+        got = files.load_state(spark, path).collect()
+        assert len(got) == n and got[0].checkpoint_hash == "h" and got[0].legend is None and "unknown" not in got[0]
+
+
+def test_final_scores_and_prompt(spark):
+    s = spark.createDataFrame([("t", 0, 1.0, 0.0), ("t", 1, 0.5, 1.0), ("t", 2, None, 1.0)], "task string, turn int, baseline_score double, compressed_score double")
+    assert [tuple(r) for r in evaluate.final_scores(s, "task").collect()] == [("t", 0.5, 1.0)]
+    p = spark.range(1).select(evaluate.judge_prompt(F.lit("do it"), F.lit("base"), F.lit("comp"), F.lit(True))).first()[0]
+    assert p.index("comp") < p.index("base") and "do it" in p
