@@ -18,14 +18,14 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks that a worker keeps (about 200 bytes each), and the longest that it keeps.
-CACHE = 300_000
+CACHE = 200_000
 CACHE_CHARS = 40
 
 #: White space as the split pattern has it.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: A space beside other white space.
-_RUN = re.compile(f" [{_WS}]|[{_WS}] ")
+#: What a text of single spaces and single line ends between words does not have.
+_ODD = ["  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 #: Letters and then ASCII marks, which the split keeps apart (an apostrophe can begin a suffix).
 _MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)\Z")
 
@@ -58,36 +58,36 @@ class Encoder:
         """Ids of a chunk without spaces, after ``prefix`` (a space or nothing)."""
         ids = held.get(chunk)
         if ids is None:
-            if chunk.isalpha() and max(chunk) <= _LATIN:  # one run of letters: the split has nothing to do
+            if chunk.isalpha() and (chunk.isascii() or max(chunk) <= _LATIN):  # one run of letters: the split has nothing to do
                 shown = (prefix + chunk).encode().decode("latin1").translate(_BYTES)
                 ids = array.array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
-            elif (m := _MARKED.match(chunk)) and max(m[1]) <= _LATIN:
+            elif (m := _MARKED.match(chunk)) and (chunk.isascii() or max(m[1]) <= _LATIN):
                 ids = self._chunk(held, prefix, m[1]) + self._chunk(self.first, "", m[2])
-            elif "\n" in chunk and all((parts := chunk.split("\n"))) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-                return self._chunk(held, prefix, parts[0]) + b"".join(self.line + self._chunk(self.first, "", p) for p in parts[1:])
             else:
                 ids = self._raw(prefix + chunk)
             if len(chunk) <= CACHE_CHARS and len(held) < CACHE:
                 held[chunk] = ids
         return ids
 
+    def _line(self, text: str) -> bytes:
+        """Ids of words between single spaces."""
+        if not text:
+            return b""
+        head, *rest = text.split(" ")
+        get, add = self.later.get, self._later
+        return (self._chunk(self.first, "", head) if head else b"") + b"".join([get(w) or add(w) for w in rest])
+
+    def _later(self, chunk: str) -> bytes:
+        return self._chunk(self.later, " ", chunk)
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if not self.chunked:
             return self._raw(text)
-        if not _RUN.search(text):
-            head, *rest = text.split(" ")
-            ids = list(map(self.later.get, rest))
-            k = -1
-            try:
-                while True:
-                    k = ids.index(None, k + 1)
-                    ids[k] = self._chunk(self.later, " ", rest[k])
-            except ValueError:
-                pass
-            return (self._chunk(self.first, "", head) if head else b"") + b"".join(ids)
+        if not any(x in text for x in _ODD):
+            return self.line.join([self._line(x) for x in text.split("\n")])
         out = []
         for c in _CHUNK.findall(text):
             if c[0] == " " and len(c) > 1 and not c[1].isspace():
