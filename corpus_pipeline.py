@@ -6,6 +6,9 @@ the last return the columns of ``documents``.  Rows of null text are empty docum
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +42,26 @@ def bestfit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("exact_dedup", exact_dedup),
-    ("minhash_neardup", near_dedup),
-    ("decontamination", decontamination),
-    ("bestfit_packing", bestfit_packing),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage, with Arrow batches of bounded size."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", _bounded(quality_classifier)),
+    ("exact_dedup", _bounded(exact_dedup)),
+    ("minhash_neardup", _bounded(near_dedup)),
+    ("decontamination", _bounded(decontamination)),
+    ("bestfit_packing", _bounded(bestfit_packing)),
 ]
 
 #: A trained network is not expressible in SQL; tests/llm holds the stages against brute force.

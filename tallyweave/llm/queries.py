@@ -11,6 +11,7 @@ from tallyweave.llm import decontam, exactdedup, langid, lmscore, neardup, packi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    storage.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

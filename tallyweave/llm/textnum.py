@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into numbers at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
