@@ -139,10 +139,15 @@ def level(count: np.ndarray) -> np.ndarray:
 VALUE = np.array([0.0, 1.0, *(((1 << q - 1) + (1 << q) - 1) / 2 for q in range(2, 64))])
 
 
-def _places(key: np.ndarray, q: int, bits: np.ndarray) -> np.ndarray:
+def _steps(key: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where an event's probes begin, and how far they go on."""
     h = mix(key + _U(q * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    step = mix(h) | _U(1)
-    return ((h[:, None] + step[:, None] * np.arange(PROBES, dtype=_U)) % (bits[:, None] if isinstance(bits, np.ndarray) else _U(bits))).astype(np.int64)
+    return h, mix(h) | _U(1)
+
+
+def _place(h: np.ndarray, step: np.ndarray, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """A probe's bit among ``bits``, fewer than 2**32."""
+    return (((h + step * _U(probe)) >> _U(32)) * bits >> _U(32)).astype(np.int64)
 
 
 def region(key: np.ndarray, count: np.ndarray) -> bytes:
@@ -153,7 +158,9 @@ def region(key: np.ndarray, count: np.ndarray) -> bytes:
     for k in range(1, int(q.max(initial=0)) + 1):
         part = key[q >= k]
         for at in range(0, len(part), 1 << 18):
-            out[_places(part[at : at + (1 << 18)], k, bits).reshape(-1)] = True
+            h, step = _steps(part[at : at + (1 << 18)], k)
+            for probe in range(PROBES):
+                out[_place(h, step, probe, _U(bits))] = True
     return np.packbits(out).tobytes()
 
 
@@ -173,13 +180,18 @@ class Filter:
     def levels(self, kind: int, key: np.ndarray) -> np.ndarray:
         """The quantised count of each key, by probes for 1, 2, ... until one fails."""
         b = bucket_of(kind, key, self.bits)
+        start, size = self.start[kind, b], self.size[kind, b]
         out = np.zeros(len(key), np.uint8)
-        alive = np.flatnonzero(self.size[kind, b])
+        alive = np.flatnonzero(size)
         q = 0
         while len(alive):
             q += 1
-            p = _places(key[alive], q, self.size[kind, b[alive]]) + self.start[kind, b[alive]][:, None]
-            alive = alive[((self.data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(1)]
+            h, step = _steps(key[alive], q)
+            own, first = size[alive], start[alive]
+            for probe in range(PROBES):  # most absent keys fail the first ones
+                p = _place(h, step, probe, own) + first
+                hit = (self.data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
+                alive, h, step, own, first = (x[hit] for x in (alive, h, step, own, first))
             out[alive] = q
         return out
 
