@@ -203,7 +203,7 @@ def _is_held(mod: int):
 def counts(train: DataFrame) -> tuple[DataFrame, int]:
     """Exact counts of the texts' n-grams, packed by kind and bucket, and the bits of a bucket number."""
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(3, (size // BUCKET_BYTES).bit_length()))
+    bits = min(20, max(3, (size // BUCKET_BYTES).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, bi, n = [], [], 0
