@@ -36,7 +36,7 @@ from tallyweave.llm import bpe, storage
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together.
-PART = 100_000
+PART = 500
 
 #: A kind of sequence: how many there are of it, and (length, copies) in order.
 Kind = tuple[int, list[tuple[int, int]]]
