@@ -4,9 +4,9 @@ A bigram model with unigram back-off is learnt from the training documents:
 
     p(w | h) = (c(h, w) + MU * p(w)) / (s(h) + MU),   p(w) = (c(w) + 0.1) / (S + 0.1 (V + 1))
 
-where c(h, w) counts bigrams that occur at least ``BIGRAMS_FROM`` times, s(h) is their sum
+where c(h, w) counts all bigrams, those that occur once too, s(h) is their sum
 over w, and S is the sum of the unigram counts as the filter gives them back, so both
-distributions sum to one.  A context without such bigrams leaves the unigram model.
+distributions sum to one.  A context that never occurs leaves the unigram model.
 
 Counts of unigrams, bigrams and contexts live in one Bloom filter.  A count c is quantised
 to q = 1 + floor(log2 c), and the n-gram is stored q times, with 1 to q beside its key; a
@@ -42,8 +42,6 @@ from pyspark.sql import functions as F
 from tallyweave.llm import storage
 from tallyweave.llm.textnum import mix, word_batches
 
-#: Bigrams that occur less often are left to the unigram part of the model.
-BIGRAMS_FROM = 2
 MU = 8.0
 #: Probes of an event; the filter takes PROBES / ln 2 bits for one.
 PROBES = 6
@@ -88,17 +86,20 @@ def bucket_of(kind: int, key: np.ndarray, bits: int) -> np.ndarray:
     return (mix(key + _U(kind)) & _U((1 << bits) - 1)).astype(np.int64)
 
 
+def _bytes(key: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys that came once need no count; the others follow them."""
+    single = count == 1
+    return np.concatenate([key[single], key[~single]]).tobytes(), count[~single].astype("<u8").tobytes()
+
+
 def _packed(kind: int, key: np.ndarray, count: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    b = bucket_of(kind, key, bits)
-    order = np.lexsort((key, b)) if bits else np.arange(len(key))
-    b, key, count = b[order], key[order], count[order]
-    cut = np.searchsorted(b, np.arange((1 << bits) + 1))
-    for k in range(1 << bits):
-        if cut[k] < cut[k + 1]:
-            one = slice(cut[k], cut[k + 1])
-            single = count[one] == 1
-            # Keys that came once need no count; the others follow them.
-            yield k, kind, np.concatenate([key[one][single], key[one][~single]]).tobytes(), count[one][~single].astype("<u8").tobytes()
+    """Sorted keys and their counts by bucket."""
+    b = bucket_of(kind, key, bits).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(b, kind="stable")
+    cut = np.r_[0, np.cumsum(np.bincount(b, minlength=1 << bits))]
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        one = order[cut[k] : cut[k + 1]]
+        yield k, kind, *_bytes(key[one], count[one])
 
 
 def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +126,8 @@ def _merge(group: pa.Table) -> pa.Table:
     kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
     parts = [_unpacked(k.as_py(), c.as_py()) for k, c in zip(group["keys"], group["counts"])]
     key, count = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    if kind == BI:
-        key, count = key[count >= BIGRAMS_FROM], count[count >= BIGRAMS_FROM]
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32()), "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([count.astype("<u8").tobytes()], pa.binary())})
+    keys, counts = _bytes(key, count)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32()), "keys": pa.array([keys], pa.binary()), "counts": pa.array([counts], pa.binary())})
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -221,14 +221,20 @@ def counts(train: DataFrame) -> tuple[DataFrame, int]:
 
     def flush(uni: list, bi: list) -> Iterator[pa.RecordBatch]:
         for kind, held in ((UNI, uni), (BI, bi)):
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            for row in _packed(kind, key, c.astype(np.uint64), bits):
+            key = np.concatenate(held)
+            held.clear()
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            c = np.diff(first, append=len(key)).astype(np.uint32)
+            key = key[first]
+            del first
+            for row in _packed(kind, key, c, bits):
                 yield _rows([row])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, c = _unpacked(k, c)
+            for k, c in zip(*b.columns):
+                key, c = _unpacked(k.as_buffer(), c.as_buffer())
                 for row in _packed(CONTEXT, *_summed(key >> _U(28), c), bits):
                     yield _rows([row])
 
@@ -243,9 +249,9 @@ def _unigrams(ngrams: DataFrame, keep) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, c = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+                key, c = _unpacked(k, c)
                 ok = keep(c)
-                yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(c[ok])], ["key", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[ok].view(np.int64)), pa.array(c[ok].view(np.int64))], ["key", "c"])
 
     return ngrams.where(F.col("kind") == UNI).select("keys", "counts").mapInArrow(rows, "key long, c long")
 
@@ -255,22 +261,22 @@ def _totals(ngrams: DataFrame) -> dict[int, tuple[int, int, float]]:
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in b.column(0).to_pylist():
-                c = np.frombuffer(c, np.int64)
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = _unpacked(k, c)[1]
                 q = level(c)
                 for k in np.unique(q).tolist():
                     yield pa.RecordBatch.from_pydict({"q": pa.array([k], pa.int32()), "types": pa.array([int((q == k).sum())]), "tokens": pa.array([int(c[q == k].sum())])})
 
-    rows = ngrams.where(F.col("kind") == UNI).select("counts").mapInArrow(tell, "q int, types long, tokens long").groupBy("q").agg(F.sum("types"), F.sum("tokens")).collect()
+    rows = ngrams.where(F.col("kind") == UNI).select("keys", "counts").mapInArrow(tell, "q int, types long, tokens long").groupBy("q").agg(F.sum("types"), F.sum("tokens")).collect()
     return {q: (types, n, types * float(VALUE[q])) for q, types, n in rows}
 
 
 def _regions(ngrams: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, kind, k, c in zip(*(x.to_pylist() for x in b.columns)):
-                if k:
-                    yield _rows([(bucket, kind, region(np.frombuffer(k, _U), np.frombuffer(c, _U)), b"")])
+            for bucket, kind, k, c in zip(*b.columns):
+                if len(k.as_buffer()):
+                    yield _rows([(bucket, kind, region(*_unpacked(k.as_buffer(), c.as_buffer())), b"")])
 
     return ngrams.select("bucket", "kind", "keys", "counts").mapInArrow(build, _PACKED).select("kind", "bucket", F.col("keys").alias("region"), F.length("keys").alias("size"))
 

@@ -453,6 +453,32 @@ def test_lm_scores(spark, docs, none, monkeypatch):
     assert {(r.n_known, r.train_tokens) for r in only} == {(0, 0)}
 
 
+def test_lm_holds_bigrams_that_occur_once(spark):
+    r = random.Random(5)
+    rows = [(k, sentence(r, 40, 300), "en") for k in range(200)]
+    docs = frame(spark, rows)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    toks = [(i, [0, *words(t), None]) for i, t, _ in rows]
+    uni = Counter(w for i, t in toks if not held(i) for w in t[1:])
+    bi = Counter(p for i, t in toks if not held(i) for p in zip(t, t[1:]))
+    ctx = Counter(w for i, t in toks if not held(i) for w in t[:-1])
+    assert sum(c == 1 for c in bi.values()) > len(bi) / 2
+    ngrams, _ = lmscore.counts(docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 != 0))
+    for kind, want in ((lmscore.UNI, uni), (lmscore.BI, bi), (lmscore.CONTEXT, ctx)):
+        got = Counter(c for x in ngrams.where(F.col("kind") == kind).collect() for c in lmscore._unpacked(x["keys"], x["counts"])[1].tolist())
+        assert got == Counter(want.values())
+
+    def value(c):  # the middle of the counts of a level
+        q = c.bit_length()
+        return (2 ** (q - 1) + 2**q - 1) / 2 if c else 0.0
+
+    s, v = sum(map(value, uni.values())), len(uni)
+    p = lambda h, w: (value(bi[h, w]) + lmscore.MU * (value(uni[w]) + 0.1) / (s + 0.1 * (v + 1))) / (value(ctx[h]) + lmscore.MU)
+    want = {i: sum(math.log10(p(*x)) for x in zip(t, t[1:])) for i, t in toks}
+    off = sorted(abs(x.score - want[x.doc_id]) / x.n_tokens for x in lmscore.score(docs).collect())
+    assert off[len(off) // 2] < 0.03 and sum(off) / len(off) < 0.03  # what the filter's false hits leave
+
+
 def test_filter_gives_counts_back():
     r = np.random.default_rng(1)
     key = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
