@@ -1,6 +1,8 @@
 """Streams and sinks."""
 
+import hashlib
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -116,6 +118,37 @@ def test_reports(spark):
     assert "input saved: 25.0 %" in evaluate.report_lines(s, ql)
 
 
+def test_bootstrap_of_many_values(spark):
+    rng = random.Random(2)
+    rows = [(k, 100 + rng.randrange(9000), rng.randrange(100)) for k, n in (("a", 301), (None, 5), ("b", 40)) for _ in range(n)] + [("b", 0, 0)] * 3
+
+    def interval(v, iters):
+        v, n, means = sorted(v), len(v), []
+        for it in range(iters):
+            draws = (int(hashlib.md5(f"{it}:{k // 4}".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8], 16) % n for k in range(n))
+            means.append(sum(v[p] for p in draws) / n)
+        means.sort()
+        return [round(x, 6) for x in (sum(v) / n, means[int(0.025 * iters)], means[int(0.975 * iters)])]
+
+    pct = lambda b, c: 100.0 * (b - c) / b if b else 0.0
+    p = spark.createDataFrame([(k, n % 3, b, c, 1.0, 0.5) for n, (k, b, c) in enumerate(rows)], "config string, turn int, baseline_input long, compressed_input long, baseline_cost double, compressed_cost double")
+    s = evaluate.savings_report(p, "config", iterations=100)
+    assert {r.config: [round(x, 6) for x in (r.mean_saved_pct, r.ci_lo, r.ci_hi)] for r in s.collect()} == {k: interval([pct(b, c) for x, b, c in rows if x == k], 100) for k in ("a", "b", None)}
+    values = [pct(b, c) for _, b, c in rows] + [7.5] * 400
+    assert len(set(values)) > evaluate.MOST_DISTINCT
+    ci = evaluate.bootstrap_ci(spark.createDataFrame([(x,) for x in [*values, None]], "d double"), "d", 60).first()
+    assert ci.n == len(values) and [round(x, 6) for x in (ci.mean, ci.lo, ci.hi)] == interval(values, 60)
+    few = spark.createDataFrame([(float(x % 7),) for x in range(50)], "d double")
+    assert [round(x, 9) for x in evaluate.bootstrap_by(few, "d", iterations=50).first()] == [round(x, 9) for x in evaluate.bootstrap_ci(few, "d", 50).first()]
+    assert tuple(evaluate.bootstrap_by(few.limit(0), "d", iterations=9).first()) == (0, 0.0, 0.0, 0.0)
+
+    q = spark.createDataFrame([(1.0, 0.5), (0.0, 1.0)], "baseline_score double, compressed_score double")
+    loss = evaluate.bootstrap_ci(q.select((F.col("baseline_score") - F.col("compressed_score")).alias("d")), "d", 40)
+    text = evaluate.report_lines(evaluate.savings_report(p, iterations=20), evaluate.with_decision(evaluate.quality_report(q), loss), evaluate.savings_by_turn(p))
+    assert "95% CI" in text and "margin 0.030: FAIL, quality regressed" in text and "saved by turn: t0:" in text
+    assert "no scored turns" in evaluate.report_lines(s.limit(1), evaluate.quality_report(q.limit(0)))
+
+
 def test_metrics(spark, tmp_path):
     u = spark.createDataFrame([("s", {"input_tokens": 1_000_000, "output_tokens": None, "cache_creation_input_tokens": 0, "cache_read_input_tokens": 100})], "session string, usage struct<input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long>").withColumn("estimated_input", F.lit(1))
     rows = files.usage_rows(u)
