@@ -60,6 +60,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(t).digest() for t in _norms(b.column(1))], pa.binary())], ["doc_id", "digest"])
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.sha256(t).digest() for t in _norms(b.column(1))], pa.binary())], ["doc_id", "text", "digest"])
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_norms(b.column(1)), pa.binary())], ["doc_id", "norm"])
@@ -135,7 +140,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents whose text an earlier id has."""
-    name = storage.unused(docs, "gone")
-    gone = storage.kept(dedup(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(name), "left_anti")
+    judged = dedup(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept")
+    return storage.without(docs, judged, lambda t: t.mapInArrow(_digested, "doc_id long, text string, digest binary"), BROADCAST_IDS)

@@ -18,8 +18,8 @@ Steps, with what each of them moves:
    bounded size, so no link that a bucket shows is lost.  Then groups are found again.
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing.
-Rows that repeat a ``doc_id`` are all returned; they share a component because the lowest
-id of each distinct set joins them.  Rows with a null ``doc_id`` take no part in links and
+Rows that repeat a ``doc_id`` are all returned; each takes the component of its own set, so
+one id on two texts can be in two components, one kept and one not.  Rows with a null ``doc_id`` take no part in links and
 get a null component.  Further columns of the input are ignored.
 """
 
@@ -109,18 +109,29 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     ids.slice(row, end - row),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
                 ["doc_id", "n_shingles", "digest", "bands"],
             )
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s, digest_size=16).digest() if len(s) else None
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, end, h, at in word_batches(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([*(c.slice(row, end - row) for c in batch.columns), pa.array([_digest(s) for s in shingle_sets(h, at)], pa.binary())], ["doc_id", "text", "digest"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for row, end, h, at in word_batches(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array([s.tobytes() for s in shingle_sets(h, at)], pa.binary())], ["doc_id", "set"])
+            sets = list(shingle_sets(h, at))
+            yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "set"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +201,22 @@ def _torn_links(of: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs).drop("digest")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the digest of each row's set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = storage.kept(docs.mapInArrow(_sketch, _SKETCH), "sketch")
 
     # Equal sets stand as one: all rows of a digest have the same band keys.
-    reps = storage.kept(sketch.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "reps")
+    reps = sketch.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    reps = storage.kept(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    # A set is known by its smallest id, or by a number where one id stands for several sets.
+    several = not reps.groupBy("id").count().where("count > 1").isEmpty()
+    if not several:
+        reps = reps.withColumn("rep", F.col("id"))
     member = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
     bucket = storage.kept(member.join(shared, "key"), "buckets")
@@ -205,11 +226,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = bucket.where("rep <> pivot").select("pivot", "rep", "n").distinct().join(size.withColumnRenamed("rep", "pivot"), "pivot").where(fits(F.col("n"), F.col("n_pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     first = storage.kept(first, "pairs")
 
-    wanted = storage.kept(bucket.select("rep").distinct().withColumnRenamed("rep", "doc_id"), "wanted")
+    wanted = storage.kept(bucket.select("rep").distinct().join(reps.select("rep", F.col("id").alias("doc_id"), "digest"), "rep"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
+    near = F.broadcast if small else lambda df: df
     # A repeated doc_id may come with several texts: the digest says which row is meant.
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    sets = storage.kept(texts.mapInArrow(_sets, "doc_id long, set binary"), "sets")
+    texts = docs.join(near(wanted.select("doc_id")), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "doc_id long, digest binary, set binary")
+    sets = storage.kept(sets.join(near(wanted), ["doc_id", "digest"]).select(F.col("rep").alias("doc_id"), "set"), "sets")
     sets_one = sets.dropDuplicates(["doc_id"]) if sets.count() != wanted.count() else sets
 
     links = storage.kept(_verified(first, sets_one), "links")
@@ -221,17 +244,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = storage.kept(of.join(torn, "key").groupBy("home", "rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "torn")
     more = storage.kept(_torn_links(of, sets_one), "links")
     comp = storage.kept(components(links.unionByName(more)), "components")
+    if several:
+        least = comp.join(reps.select("rep", "id"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("id").alias("least"))
+        comp = storage.kept(comp.join(least, "component").select("node", F.col("least").alias("component")), "components")
     storage.drop(sets, bucket, of, wanted, first, links, more)
 
     # Every row takes the component of the row that stands for its set.
-    by_set = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("by_set"))
+    by_set = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "id").alias("by_set"))
     out = sketch.join(by_set, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("by_set", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents that near_duplicates drops."""
-    name = storage.unused(docs, "gone")
-    gone = storage.kept(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col(name), "left_anti")
+    return storage.without(docs, _grouped(docs), lambda t: t.mapInArrow(_digested, "doc_id long, text string, digest binary"), BROADCAST_IDS)

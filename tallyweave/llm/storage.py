@@ -13,6 +13,7 @@ import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: list[str] = []
 
@@ -61,6 +62,28 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(docs: DataFrame, judged: DataFrame, digested, broadcast_ids: int) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that ``judged`` (doc_id, digest, kept) does not keep.
+
+    Most go by id alone.  An id of which one text stays and another goes is told by its
+    texts, whose digests ``digested`` makes: (doc_id, text) to (doc_id, text, digest).
+    """
+    name, told = unused(docs, "gone"), unused(docs, "gone_text")
+    ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
+    gone = kept(ids.where("not every").select(F.col("doc_id").alias(name), F.col("some").alias("some")), "gone")
+    mixed = gone.where("some").select(F.col(name).alias("doc_id"))
+    whole = gone.where("not some").select(name)
+    small = gone.count() <= broadcast_ids
+    near = F.broadcast if small else lambda df: df
+    out = docs.join(near(whole), F.col("doc_id") == F.col(name), "left_anti")
+    if mixed.isEmpty():
+        return out
+    bad = judged.where("not kept").join(near(mixed), "doc_id", "left_semi").select("doc_id", "digest").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near(mixed), "doc_id", "left_semi")
+    pairs = kept(digested(texts).join(bad, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(name), F.col("text").alias(told)).distinct(), "gone")
+    return out.join(pairs, (F.col("doc_id") == F.col(name)) & F.col("text").eqNullSafe(F.col(told)), "left_anti")
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what :func:`kept` wrote, once no later plan reads it."""
     for t in tables:

@@ -431,6 +431,20 @@ def test_warc_records_can_be_read_by_others(spark):
 # -- models -------------------------------------------------------------------------------------------------
 
 
+def test_one_id_on_two_texts(spark):
+    r = random.Random(8)
+    a, b, c, d = (sentence(r, 60) for _ in range(4))
+    close = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "en"), (2, close, "en"), (2, b, "en"), (3, b, "fr"), (4, c, "en"), (5, a, "en"), (5, d, "en"), (None, b, "en"), (6, None, "en"), (6, c, "en")]
+    docs = frame(spark, rows).repartition(3)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 56, 1, True), (2, 56, 1, False), (2, 56, 2, True), (3, 56, 2, False), (4, 56, 4, True), (5, 56, 1, False), (5, 56, 5, True), (None, 56, None, None), (6, 0, 6, True), (6, 56, 4, False)])
+    left = lambda f: Counter((x.doc_id, x.text) for x in f(docs).collect())
+    assert left(neardup.keep_one) == Counter([(1, a), (2, b), (4, c), (5, d), (None, b), (6, None)])
+    exact = left(exactdedup.keep_one)
+    assert {k: n for k, n in exact.items() if k[0] is not None} == {(1, a): 1, (2, close): 1, (2, b): 1, (4, c): 1, (5, d): 1, (6, None): 1}
+
+
 def test_lm_scores(spark, docs, none, monkeypatch):
     rows = corpus()
     toks = [(i, [*words(t), None]) for i, t, _ in rows]
