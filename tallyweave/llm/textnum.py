@@ -1,13 +1,15 @@
 """Words and word shingles of Arrow text columns as 64-bit numbers, without Python strings.
 
 A word is a run of bytes other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased; bytes of
-UTF-8 text are enough for that.  All work is done with numpy on the buffers of a column, in
+UTF-8 text are enough for that.  No step of a word's hash is linear in its bytes, so words
+of one pattern do not collide.  All work is done with numpy on the buffers of a column, in
 slices of bounded size, so that a worker's memory does not follow the length of a batch or
 of a text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,13 @@ SLICE = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
-_R = 0x9E3779B97F4A7C15 | 1
-_R_INV = pow(_R, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER] * _U(2) + _U(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Bytes of the longest word that is hashed by blocks of eight; longer ones take BLAKE2.
+_BY_BLOCKS = 64
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
 
 
@@ -38,19 +40,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE + (1 << 18), 1 << (n - 1).bit_length())
-    if size not in _powers:
-        p = np.full((2, size), _U(1))
-        p[0, 1:], p[1, 1:] = _U(_R), _U(_R_INV)
-        _powers.clear()
-        _powers[size] = tuple(np.multiply.accumulate(p, axis=1))
-    return _powers[size]
-
-
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -80,11 +69,26 @@ def _slice_words(buf: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     inner = cuts[(cuts > 0) & (cuts <= len(buf))]
     nxt[inner - 1] = False
     end = np.flatnonzero(solid & ~nxt) + 1
-    p, inv = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, _U)
-    np.cumsum(_VALUE[buf] * p[: len(buf)], out=total[1:])
-    h = (total[end] - total[start]) * inv[start]
-    return mix(h + (end - start).astype(_U) * _U(0xC2B2AE3D27D4EB4F)), start
+    low = np.zeros(len(buf) + 8, np.uint8)
+    low[: len(buf)] = _LOWER[buf]
+    return _hashes(low, start, end - start), start
+
+
+def _hashes(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Each word's length and then its blocks of eight bytes, mixed into one number in turn.
+    ``low`` has eight bytes more than its words."""
+    eight = np.ndarray((len(low) - 7,), "<u8", low, 0, (1,))
+    h = mix(size.astype(_U))
+    long = np.flatnonzero(size > _BY_BLOCKS)
+    live = np.flatnonzero(size <= _BY_BLOCKS) if len(long) else np.arange(len(size))
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in long.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(low[start[k] : start[k] + size[k]], digest_size=8).digest(), "little")
+    return h
 
 
 def word_batches(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
