@@ -3,7 +3,9 @@
 In a byte-level BPE with the usual split pattern and no normaliser, a text's ids are those
 of its chunks put together, when each chunk begins at a run of white space that follows a
 character of another kind.  Chunks recur, so a worker keeps the ids of short ones; each id
-still comes from the library.  Other kinds of tokenizers encode each text as one.
+still comes from the library.  Texts that hold the string of an added token (which the library
+takes out before it splits) are encoded as one, and so are all texts of other kinds of
+tokenizers.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,9 +46,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: A text that holds one of these is encoded as one.
+        self.added = [x.content for x in t.get_added_tokens_decoder().values()]
         pre, self.model = t.pre_tokenizer, t.model
-        self.chunked = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and type(self.model).__name__ == "BPE" and not self.model.dropout and all(x.special for x in t.get_added_tokens_decoder().values())
+        self.chunked = t.normalizer is None and type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and type(self.model).__name__ == "BPE" and not self.model.dropout
         #: Ids, as little-endian 32-bit bytes, of chunks after a space and of chunks at a text's start.
         self.later: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
@@ -84,7 +88,7 @@ class Encoder:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.chunked:
+        if not self.chunked or any(x in text for x in self.added):
             return self._raw(text)
         if not any(x in text for x in _ODD):
             return self.line.join([self._line(x) for x in text.split("\n")])
@@ -99,6 +103,20 @@ class Encoder:
         return b"".join(out)
 
 
+def narrow(ids: bytes, width: int) -> bytes:
+    """Little-endian 32-bit ids as ids of ``width`` bytes; an id that needs more is an error."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"id {int(wide.max())} does not fit into {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
+def widen(ids: bytes, width: int) -> bytes:
+    return ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+
+
 _encoders: dict[str, Encoder] = {}
 
 

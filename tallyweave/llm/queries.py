@@ -54,14 +54,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-#: Id of <|endoftext|> in that vocabulary, which no text encodes to.
-END_OF_TEXT = 50256
+#: The end of a document in flat files: no id of that vocabulary, whose ids go up to 50,256.
+NO_ID = 65_535
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens (ids of its text) and n_ids (with the end id), by a scan of flat files."""
-    files, order = tokencount.write_flat(_table(spark, sf_dir, "documents"), storage.fresh(spark, "flat"), vocabulary(), END_OF_TEXT)
-    found = tokencount.count_tokens(files, END_OF_TEXT)
+    files, order = tokencount.write_flat(_table(spark, sf_dir, "documents"), storage.fresh(spark, "flat"), vocabulary(), NO_ID)
+    found = tokencount.count_tokens(files, NO_ID)
     return order.join(found, ["file", "ordinal"]).select("doc_id", (F.col("n_ids") - 1).alias("n_tokens"), "n_ids")
 
 

@@ -8,7 +8,9 @@ each, gives every block the number of documents that ended before it and the pla
 last end, so documents that cross blocks are put together without reading any id twice.
 
 Ids after a file's last end make one more document, with ``ended`` false.  An empty file
-has no document.
+has no document, and an empty table writes no file.  Null texts count as empty; null ids are
+returned as they are, and repeated rows are written and counted as often as they come.  A
+long text is encoded whole and its ids are scanned in blocks.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ TASKS = 20_000
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int, width: int = 2) -> tuple[DataFrame, DataFrame]:
     """Encode ``docs`` (doc_id, text) to flat files, one for each task, without a shuffle.
 
-    ``end`` must be an id that no text encodes to.  Returns the files (file, n_ids), which
+    ``end`` must be an id that no text encodes to; a text that does, or an id that needs more
+    than ``width`` bytes, is an error.  Returns the files (file, n_ids), which
     are what a scan needs, and the order in which documents were written (file, ordinal,
     doc_id), which a scan does not use.
     """
@@ -45,14 +48,16 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int, width: i
             if out is None:
                 name, out = storage.write_stream(folder, "flat")
             for _, raw in bpe.encoded(b.column(1), vocabulary, end):
-                raw = np.frombuffer(raw, "<u4")
-                out.write(raw.astype(f"<u{width}").tobytes())
-                n += len(raw)
+                if (np.frombuffer(raw[:-4], "<u4") == end).any():
+                    raise ValueError(f"a text holds the end id {end}")
+                out.write(bpe.narrow(raw, width))
+                n += len(raw) // 4
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([written], pa.int64()), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], ["file", "first", "doc_ids", "n_ids"])
             written += len(b)
         if out is not None:
             out.close()
 
+    storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = storage.kept(docs.mapInArrow(dump, "file string, first long, doc_ids array<long>, n_ids long"), "flat")
     files = told.groupBy("file").agg(F.max("n_ids").alias("n_ids"))
