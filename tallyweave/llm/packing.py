@@ -15,11 +15,15 @@ Lengths are integers of a small range, so the whole instance is its histogram: a
    follows the number of lengths, not of pieces.
 
 The answer is a small table of intervals of ranks within a length.  Pieces are ranked
-within their length without a single large group: each length is dealt by hash into as many
-parts as its count asks for, and parts get their first rank from the counts before them.
-
-Null texts count as empty and hold the end id alone.  Repeated rows are packed as often as
-they come.  A null doc_id is packed as any other.  Further columns of documents are ignored.
+within their length without a single large group: pieces are numbered when they are written,
+each length is dealt by a hash of that number into as many parts as its count asks for (at
+most ``PARTS``), and parts get their first rank from the counts before them.  The order within
+a part is that of the numbers, so a task that runs again gives the same ranks.
+
+Null texts count as empty and hold the end id alone.  A long text is encoded whole; its pieces
+are packed one by one.  Repeated rows are packed as often as they come.  A null doc_id is
+packed as any other.  An empty table gives an empty result.  Further columns of documents are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from pyspark.sql import Window as W
 from tallyweave.llm import bpe, storage
 
 CAPACITY = 2048
-#: Pieces of one length that are ranked together.
-PART = 500
+#: Pieces of one length that are ranked together, and parts of a length at most; beyond them
+#: parts grow.
+PART, PARTS = 500, 1 << 16
 
 #: A kind of sequence: how many there are of it, and (length, copies) in order.
 Kind = tuple[int, list[tuple[int, int]]]
@@ -179,6 +184,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 0, capacity: int = CAPAC
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
+    storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
@@ -186,7 +192,10 @@ def pieces(docs: DataFrame, vocabulary: str, end: int = 0, capacity: int = CAPAC
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (a column ``length`` from 1 to ``capacity``, and any others) with sequence_id
     and offset; columns of these two names are replaced."""
-    items = storage.kept(items.drop("sequence_id", "offset"), "pieces")
+    items = items.drop("sequence_id", "offset")
+    part, first, number, row, rank = (storage.unused(items, x) for x in ("part", "first", "number", "row", "rank"))
+    names = items.columns
+    items = storage.kept(items.withColumn(number, F.monotonically_increasing_id()), "pieces")
     count = [0] * (capacity + 1)
     for r in items.groupBy("length").count().collect():  # at most ``capacity`` rows
         count[r[0]] = r[1]
@@ -194,16 +203,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     key = (table[:, 0] << 44) + table[:, 1]
     shared = items.sparkSession.sparkContext.broadcast((key, table))
 
-    parts = F.element_at(F.array(*[F.lit(max(1, -(-n // PART))) for n in count[1:]]), F.col("length").cast("int"))
-    others = [c for c in items.columns if c != "length"]
-    part, first, row, rank = (storage.unused(items, x) for x in ("part", "first", "row", "rank"))
-    dealt = items.withColumn(part, F.pmod(F.xxhash64(*others), parts) if others else F.lit(0))
+    parts = F.element_at(F.array(*[F.lit(min(PARTS, max(1, -(-n // PART)))) for n in count[1:]]), F.col("length").cast("int"))
+    dealt = items.withColumn(part, F.pmod(F.xxhash64(number), parts))
     before = F.sum("count").over(W.partitionBy("length").orderBy(part).rowsBetween(W.unboundedPreceding, -1))
     starts = dealt.groupBy("length", part).count().select("length", part, F.coalesce(before, F.lit(0)).alias(first))
-    rows = dealt.withColumn(row, F.row_number().over(W.partitionBy("length", part).orderBy("length")))
-    ranked = rows.join(starts, ["length", part]).select(*items.columns, (F.col(first) + F.col(row) - 1).alias(rank))
-    n = len(items.columns)
-    at = items.columns.index("length")
+    rows = dealt.withColumn(row, F.row_number().over(W.partitionBy("length", part).orderBy(number)))
+    ranked = rows.join(starts, ["length", part]).select(*names, (F.col(first) + F.col(row) - 1).alias(rank))
+    n = len(names)
+    at = names.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, table = shared.value
@@ -213,5 +220,5 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             q = rank - t[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(t[:, 3] + q % t[:, 2]), pa.array(t[:, 4] + w * (q // t[:, 2]))], [*b.schema.names[:n], "sequence_id", "offset"])
 
-    schema = items.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    schema = items.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
     return ranked.mapInArrow(place, schema)
