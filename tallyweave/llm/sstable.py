@@ -14,10 +14,13 @@ key repeats) that binary search names.
 The key of a document is its ``doc_id`` as eight big-endian bytes with the sign bit
 flipped, so keys sort as the ids do; a null id has the empty key and sorts first.  Repeated
 ids are all stored, in order of a hash of their texts.  Null texts are stored as the end id
-alone.  An empty table writes no shard and reads back empty.  Further columns are ignored.
+alone.  A long text is one entry, larger than a block.  An empty table writes no shard and
+reads back empty.  Further columns are ignored.
 
-Writing is one range shuffle of the texts; each task encodes and streams its range to a
-file of its own, block by block.  A lost task leaves a file that no manifest names.
+Writing encodes the texts where they are and shuffles their ids by ranges of keys; each task
+streams its range to files of its own, block by block, and begins a new one when the last
+holds ``shard`` bytes of data or ``shard_docs`` documents.  A lost task leaves files that no manifest
+names.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ from tallyweave.llm import bpe, storage
 from tallyweave.llm.textnum import mix
 
 BLOCK = 32 << 10
+#: Bytes of data blocks, and documents, from which on a shard is full: bound a reader's task
+#: and the keys and index that a writer holds.
+SHARD, SHARD_DOCS = 256 << 20, 1 << 20
 #: Bytes of neighbouring blocks that a full scan reads at once.
 READ = 8 << 20
 MAGIC = b"TWSSTBL1"
@@ -90,8 +96,8 @@ class Writer:
         self.last, self.n, self.ids = b"", 0, 0
         self.entries = self.total = 0
 
-    def add(self, key: bytes, ids: bytes) -> None:
-        """``ids``: little-endian 32-bit."""
+    def add(self, key: bytes, value: bytes) -> None:
+        """``value``: ids of ``width`` bytes each."""
         if not self.n:
             self.first = key
         same = 0
@@ -100,8 +106,7 @@ class Writer:
                 if a != b:
                     break
                 same += 1
-        count = len(ids) // 4
-        value = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids
+        count = len(value) // self.width
         self.block += _varint(same) + _varint(len(key) - same) + _varint(count) + key[same:] + value
         self.last = key
         self.n += 1
@@ -162,7 +167,7 @@ class Shard:
             at += rest
             value = bytes(block[at : at + count * self.width])
             at += count * self.width
-            yield key, np.frombuffer(value, "<u2").astype("<u4").tobytes() if self.width == 2 else value
+            yield key, bpe.widen(value, self.width)
 
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
         """(key, ids) of all entries in order."""
@@ -199,27 +204,45 @@ def open_shard(uri: str) -> Shard:
 MANIFEST = "shard long, file string, first_id long, last_id long, n_docs long, n_tokens long"
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, width: int = 2) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) and write shards in ascending order of doc_id; returns their manifest."""
+def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, width: int = 2, shard: int = SHARD, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) and write shards in ascending order of doc_id; returns their
+    manifest.  An id that needs more than ``width`` bytes (2 or 4) is an error."""
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for k, raw in bpe.encoded(b.column(1), vocabulary, end):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.narrow(raw, width) for _, raw in bpe.encoded(b.column(2), vocabulary, end)], pa.binary())], ["doc_id", "tie", "ids"])
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, n = None, TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            writer.finish()
+            out.close()
+            return pa.RecordBatch.from_pydict({"shard": [n], "file": [f"{folder}/{name}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [writer.entries], "n_tokens": [writer.total]})
+
+        for b in batches:
+            ids, values = b.column(0).to_pylist(), b.column(1)
+            for k, doc_id in enumerate(ids):
+                if writer is not None and (writer.at + len(writer.block) >= shard or len(writer.keys) >= shard_docs):
+                    yield row()
+                    writer, n = None, n + 1
                 if writer is None:
                     name, out = storage.write_stream(folder, "shard")
-                    writer, first = Writer(out, width), ids[k]
-                writer.add(key_of(ids[k]), raw)
-                last = ids[k]
+                    writer, first = Writer(out, width), doc_id
+                writer.add(key_of(doc_id), values[k].as_py())
+                last = doc_id
         if writer is not None:
-            writer.finish()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "file": [f"{folder}/{name}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [writer.entries], "n_tokens": [writer.total]})
+            yield row()
+
+    storage.small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+
+    def write_all() -> DataFrame:
+        encoded = storage.kept(rows.mapInArrow(encode, "doc_id long, tie long, ids binary"), "encoded")
+        return encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(shards, MANIFEST)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    return storage.kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, MANIFEST), "manifest")
+    return storage.settled(docs.sparkSession, write_all, "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
