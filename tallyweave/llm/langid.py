@@ -1,41 +1,48 @@
 """Language ID by word-first back-off.
 
-A known word counts with its log frequency in each language.  An unseen word falls back to
+A word is a letter and the letters and combining marks that follow it.  A known word counts
+with its log frequency in each language.  An unseen word falls back to
 its characters: at each of its places the longest known n-gram, from ``LONGEST`` letters
 down to one, gives its log frequencies, and the word counts with their mean.  A text's
 score is the softmax of the sums over its words.
 
 Counts come from a bounded, seeded sample of labelled texts, ``SAMPLE`` of each language at
 most, so the model is small whatever the corpus is; words need ``WORDS_FROM`` occurrences
-in it to be known.  Every text is then scored in full.
+in it to be known.  Every text is then scored in full, long ones ``AT_ONCE`` words at a time.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text when
-there is nothing to learn from.  Empty tables give empty results.  Repeated rows are scored
-as often as they come.  Further columns are ignored.
+there is nothing to learn from.  Languages that score alike go by name, the first one wins.
+Empty tables give empty results.  Repeated rows are scored as often as they come.  Further
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyweave.llm import storage
+
 #: Labelled texts of each language that are learnt from at most.
 SAMPLE = 500
 WORDS_FROM = 2
 LONGEST = 4
-#: Words beside the known ones whose scores a worker keeps.
-CACHE = 200_000
+#: Words beside the known ones whose scores a worker keeps, and the longest that it keeps.
+CACHE, CACHE_CHARS = 200_000, 40
+#: Words that are looked up at once, fewer than CACHE.
+AT_ONCE = 100_000
 #: Words of a text from which on its score is not made surer by more of them.
 SURE = 40
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words(text: str) -> list[str]:
@@ -51,12 +58,11 @@ def _grams(word: str) -> Iterator[str]:
 
 class Model:
     def __init__(self, langs: list[str], known: dict[str, int], grams: dict[str, int], vectors: np.ndarray):
-        self.langs, self.grams = langs, grams
+        self.langs, self.known, self.grams = langs, known, grams
         self.row = dict(known)
         self.vectors = np.zeros((len(vectors) + CACHE, len(langs)), np.float32)
         self.vectors[: len(vectors)] = vectors
-        self.used = len(vectors)
-        self.spare: dict[str, np.ndarray] = {}
+        self.first = self.used = len(vectors)
 
     @staticmethod
     def fit(counts: list[tuple[str, str, str, int]]) -> tuple:
@@ -94,38 +100,47 @@ class Model:
                     break
         return self.vectors[found].mean(0) if found else np.zeros(len(self.langs), np.float32)
 
-    def total(self, ws: list[str]) -> np.ndarray:
-        """The sum of the words' vectors."""
-        rows = list(map(self.row.get, ws))
-        extra = np.zeros(len(self.langs))
-        k = -1
-        try:
-            while True:
-                k = rows.index(None, k + 1)
-                w = ws[k]
-                r = self.row.get(w)
-                if r is None:
-                    v = self._unseen(w)
-                    if self.used < len(self.vectors):
-                        r = self.row[w] = self.used
-                        self.vectors[r] = v
-                        self.used += 1
-                    else:
-                        extra += v
-                rows[k] = r
-        except ValueError:
-            pass
-        rows = [r for r in rows if r is not None] if self.used == len(self.vectors) else rows
-        return self.vectors[rows].sum(0, dtype=np.float64) + extra
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        ws = words(text) if text else []
-        if not self.langs or not any(c.isalpha() for w in ws for c in w):
-            return "und", 0.0
-        t = self.total(ws) * min(1.0, SURE / len(ws))
-        p = np.exp(t - t.max())
-        k = int(p.argmax())
-        return self.langs[k], float(p[k] / p.sum())
+    def _rows(self, ws: list[str]) -> np.ndarray:
+        """The rows of at most AT_ONCE words; those of unseen words are made, each once."""
+        rows = np.fromiter(map(self.row.get, ws, repeat(-1)), np.int64, len(ws))
+        lost = np.flatnonzero(rows < 0).tolist()
+        if lost and self.used + len(lost) > len(self.vectors):  # begin anew
+            self.row, self.used = dict(self.known), self.first
+            return self._rows(ws)
+        now: dict[str, int] = {}
+        for k in lost:
+            w = ws[k]
+            r = now.get(w)
+            if r is None:
+                r = now[w] = self.used
+                self.vectors[r] = self._unseen(w)
+                self.used += 1
+            rows[k] = r
+        self.row.update((w, r) for w, r in now.items() if len(w) <= CACHE_CHARS)
+        return rows
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """The sum of the words' vectors of each text."""
+        out = np.zeros((len(texts), len(self.langs)))
+        ws = [w for t in texts for w in t]
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        for k in range(0, len(ws), AT_ONCE):
+            v, own = self.vectors[self._rows(ws[k : k + AT_ONCE])], owner[k : k + AT_ONCE]
+            for j in range(len(self.langs)):
+                out[:, j] += np.bincount(own, v[:, j], len(texts))
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        own = [words(t) if t else [] for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        n = np.array([len(ws) for ws in own])
+        t = self.totals(own) * np.minimum(1.0, SURE / np.maximum(n, 1))[:, None]
+        p = np.exp(t - t.max(1, keepdims=True))
+        best = p.argmax(1)
+        sure = p[np.arange(len(p)), best] / p.sum(1)
+        return [(self.langs[k], x) if some else ("und", 0.0) for k, x, some in zip(best.tolist(), sure.tolist(), (n > 0).tolist())]
 
 
 _models: dict[str, Model] = {}
@@ -150,7 +165,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame) -> tuple:
     """Model arguments from a sample of ``train`` (doc_id, text, lang)."""
     named = train.where("lang is not null and text is not null")
-    pick = named.select("doc_id", "lang").withColumn("__r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__r") <= SAMPLE).select("doc_id", "lang").distinct()
+    # Few rows of a language are ranked: those below a share of the hashes that holds about 4 * SAMPLE.
+    sizes = named.groupBy("lang").agg(F.count("*").alias("_n"))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("_n") < 4 * SAMPLE
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id"))
+    pick = named.select("doc_id", "lang").join(sizes, "lang").where(low).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang").distinct()
     sample = named.select("doc_id", "lang", "text").join(F.broadcast(pick), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     # Words that come once say less than their n-grams do.
@@ -161,6 +180,7 @@ def fit(train: DataFrame) -> tuple:
 def identify(docs: DataFrame, fold: int = 4, rest: int = 2) -> DataFrame:
     """Learn from documents (doc_id, text, lang) whose crc32(doc_id as text) mod ``fold`` is
     not ``rest``, and predict all: doc_id, held_out, lang_pred, score."""
+    storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held(fold, rest).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where("not held_out")))
     key = f"{id(model)}-{model._jbroadcast.id()}"
@@ -171,7 +191,7 @@ def identify(docs: DataFrame, fold: int = 4, rest: int = 2) -> DataFrame:
             _models[key] = Model(*model.value)
         m = _models[key]
         for b in batches:
-            found = [m.predict(t) for k in range(0, len(b), 256) for t in b.column(2).slice(k, 256).to_pylist()]
+            found = [x for k in range(0, len(b), 128) for x in m.predict(b.column(2).slice(k, 128).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
