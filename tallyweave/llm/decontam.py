@@ -6,18 +6,22 @@ is.  (An item of fewer words is one shingle of its own width; one without words
 found.)
 
 Plain MinHash compares sets of like size; a short item in a long document needs
-*containment*.  Items are therefore partitioned by the size of their sets, and an item of
-n shingles has as its sketch the ``n - ceil(0.75 n) + 1`` shingles of least hash, a
-bottom-k MinHash whose k follows the largest size of its partition.  A document that holds
-75 of 100 of the item must hold one of them, so probing a document's shingles for sketch
-values finds every match, at a cost that does not depend on the number of items; candidates
-are then verified by exact containment of the full sets.
+*containment*.  Items are therefore partitioned by the size of their sets, up to 1, 2, 4, 8,
+... shingles, and each partition has a sketch size k and a threshold of its own (see
+``partition``).  An item's sketch is its k shingles of least hash; the share of them that a
+document's shingles hold estimates the containment.  A document that holds 75 of 100 of an
+item can lack but a quarter of it, so at least ``need`` of its k sketch values are in the
+document: candidates are the pairs that reach that threshold, no match is missed, and a
+passage or two that an item shares with many documents makes no candidate.  Candidates are
+then verified by exact containment of the full sets.
 
 The documents are read once and nothing of them is shuffled.  The items' sketches are
 broadcast in blocks of at most ``BLOCK_BYTES`` of item text; more items take more blocks.
 
 Null and empty texts match nothing.  Null ids are returned as they are.  Repeated rows of
-either side give repeated pairs.
+either side give repeated pairs.  A long text is read a slice at a time and searched as one.
+An empty table on either side gives no pair, and without items all documents are clean.
+Further columns are ignored by ``leaks`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import storage
 from tallyweave.llm.textnum import SHINGLE, mix, shingles, word_batches
 
 PERCENT = 75
@@ -40,6 +45,18 @@ _U = np.uint64
 _BITS = 20
 
 
+def partition(n: int) -> tuple[int, int]:
+    """Sketch size k and least number of hits of the items of ``n`` shingles.
+
+    In the partition of sizes up to ``most``, a match lacks at most a quarter of an item's
+    shingles, so k is that and ``need`` more, an eighth of the largest size.  Smaller items
+    of the partition lack fewer, so they reach the threshold all the more.
+    """
+    most = 1 << (n - 1).bit_length()
+    need = max(1, most // 8)
+    return most - -(-PERCENT * most // 100) + need, need
+
+
 class Sketches:
     """The searchable form of one block of items."""
 
@@ -52,39 +69,41 @@ class Sketches:
                         self.ids.append(items[i][0])
                         self.width.append(min(SHINGLE, b - a))
                         self.sets.append(np.unique(shingles(h[a:b], self.width[-1])))
+        self.need = np.array([partition(len(s))[1] for s in self.sets], np.int64)
         #: By width: sketch values in order, the item of each, and a bit table that screens probes.
         self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        part: dict[tuple[int, int], list[int]] = {}
-        for k, s in enumerate(self.sets):
-            part.setdefault((self.width[k], len(s).bit_length()), []).append(k)
-        held: dict[int, list[tuple[int, int]]] = {}
-        for (width, _), members in part.items():
-            largest = max(len(self.sets[k]) for k in members)
-            size = largest - -(-PERCENT * largest // 100) + 1
-            for k in members:
-                s = self.sets[k]
-                least = s[np.argsort(mix(s))[:size]]
-                held.setdefault(width, []).extend((int(v), k) for v in least)
-        for width, pairs in held.items():
-            pairs.sort()
-            value = np.array([v for v, _ in pairs], _U)
+        for width in set(self.width):
+            own = [k for k, w in enumerate(self.width) if w == width]
+            least = [s[np.argsort(mix(s))[: partition(len(s))[0]]] for s in (self.sets[k] for k in own)]
+            value, item = np.concatenate(least), np.repeat(own, [len(x) for x in least])
+            order = np.lexsort((item, value))
             bit = np.zeros(1 << _BITS, bool)
             bit[(value >> _U(64 - _BITS)).astype(np.int64)] = True
-            self.index[width] = value, np.array([k for _, k in pairs]), bit
+            self.index[width] = value[order], item[order], bit
+
+    def _candidates(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, item's number) of the pairs whose sketch hits reach the item's threshold."""
+        for width, (value, item, bit) in self.index.items():
+            g = shingles(h, width)
+            pos = np.flatnonzero(bit[(g >> _U(64 - _BITS)).astype(np.int64)])
+            first = np.searchsorted(value, g[pos], "left")
+            hit = value[np.minimum(first, len(value) - 1)] == g[pos]
+            pos, first = pos[hit], first[hit]
+            doc = np.searchsorted(at, pos, "right") - 1
+            whole = pos + width <= at[doc + 1]
+            # Each value counts once a document; then all items that have it in their sketch.
+            doc, first = np.divmod(np.unique(doc[whole] * len(value) + first[whole]), len(value))
+            n = np.searchsorted(value, value[first], "right") - first
+            entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pair, hits = np.unique(np.repeat(doc, n) * len(self.ids) + item[entry], return_counts=True)
+            d, k = np.divmod(pair, len(self.ids))
+            enough = hits >= self.need[k]
+            yield from zip(d[enough].tolist(), k[enough].tolist())
 
     def find(self, col: pa.Array) -> Iterator[tuple[int, int, int]]:
         """(row, item's number, shingles shared) for each item found in each text of a column."""
         for row, _, h, at in word_batches(col):
-            hits: set[tuple[int, int]] = set()
-            for width, (value, item, bit) in self.index.items():
-                g = shingles(h, width)
-                pos = np.flatnonzero(bit[(g >> _U(64 - _BITS)).astype(np.int64)])
-                lo, hi = np.searchsorted(value, g[pos], "left"), np.searchsorted(value, g[pos], "right")
-                pos, lo, hi = pos[hi > lo], lo[hi > lo], hi[hi > lo]
-                doc = np.searchsorted(at, pos, "right") - 1
-                whole = pos + width <= at[doc + 1]
-                for d, a, b in zip(doc[whole].tolist(), lo[whole].tolist(), hi[whole].tolist()):
-                    hits.update((d, k) for k in item[a:b].tolist())
+            hits = self._candidates(h, at)
             sets: dict[tuple[int, int], np.ndarray] = {}
             for d, k in sorted(hits):
                 key = d, self.width[k]
@@ -108,6 +127,7 @@ def blocks(items: DataFrame) -> Iterator[Sketches]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each item found in each document."""
     sc = docs.sparkSession.sparkContext
+    storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for sketches in blocks(items):
@@ -137,6 +157,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in whose ``text`` no item is found."""
     sc = docs.sparkSession.sparkContext
+    storage.small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for sketches in blocks(items):
         shared = sc.broadcast(sketches)
