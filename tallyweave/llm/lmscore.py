@@ -2,22 +2,24 @@
 
 A bigram model with unigram back-off is learnt from the training documents:
 
-    p(w | h) = (c(h, w) + MU * p(w)) / (s(h) + MU),   p(w) = (c(w) + 0.1) / (S + 0.1 (V + 1))
-
-where c(h, w) counts all bigrams, those that occur once too, s(h) is their sum
-over w, and S is the sum of the unigram counts as the filter gives them back, so p(w) sums
-to one but for false hits.  p(w | h) does not, as s(h) is quantised on its own: on sf0.1,
-with exact levels, it sums to between 0.54 and 1.63 by context, above 1.1 for 4% of the
-contexts, which hold 32% of the tokens of training; a held-out token's score is 0.06 log10
-off for that, 0.005 too high on average.  A context that never occurs leaves the unigram model.
-
-Counts of unigrams, bigrams and contexts live in one Bloom filter.  A count c is quantised
-to q = 1 + floor(log2 c), and the n-gram is stored q times, with 1 to q beside its key; a
-reader probes 1, 2, ... until a probe fails.  The filter has a region for each kind and
-bucket of n-grams, sized by what it holds, so every bucket builds its region alone.
-Regions are gathered and broadcast in segments of at most ``SEGMENT`` bytes.  One segment is
-scored in one pass; more segments take a pass each, which adds the counts that its regions
-know to each document, and a last pass adds up the scores.
+    p(w | h) = (v(h, w) + MU * p(w)) / (s(h) + MU),   p(w) = (v(w) + 0.1) / (S + 0.1 (V + 1))
+
+where v is a count as the filter gives it back (bigrams that occur once are held too), s(h)
+is the sum of v(h, w) over w, and S that of v(w).  So both distributions sum to one over the
+V words of training and the unknown word, but for what false hits of the filter add.  A
+context that never occurs leaves the unigram model.
+
+Counts of unigrams and bigrams live in one Bloom filter, with the s(h).  A count c is
+quantised to q = 1 + floor(log2 c), and the n-gram is stored q times, with 1 to q beside its
+key; a reader probes 1, 2, ... until a probe fails.  For s(h), which must come back exactly,
+the bits below the highest are events as well, each stored if it is set, and events take more
+probes.  The filter has a region for each kind and bucket of n-grams, sized by what it holds,
+so every bucket builds its region alone.
+
+A filter of at most ``SEGMENT`` bytes is broadcast, and all is scored in one pass.  A larger
+one is not gathered anywhere: the distinct n-grams of each slice of texts are sent to the
+task that holds their regions, and their counts come back to the slice.  That is one shuffle
+however large the filter is.
 
 Counting moves packed, sorted arrays of 64-bit keys, one row for each task and bucket; no
 bucket has a hot key, as bigrams are dealt by both of their words.  All training documents
@@ -29,8 +31,10 @@ with their counts.
 
 Words are known by 64-bit hashes, contexts by 36 bits of them and a word after a context by
 28; equal hashes are taken as equal words.  Null texts count as empty and hold the end
-alone; a null doc_id counts as training.  Repeated rows are counted and scored as often as
-they come.  Without training documents N and V are 0 and every token is unknown.
+alone; a null doc_id counts as training.  A long text is read and hashed a slice at a time
+and scored as one.  Repeated rows are counted and scored as often as they come.  Without
+training documents N and V are 0 and every token is unknown.  An empty table gives an empty
+result.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +51,11 @@ from tallyweave.llm import storage
 from tallyweave.llm.textnum import mix, word_batches
 
 MU = 8.0
-#: Probes of an event; the filter takes PROBES / ln 2 bits for one.
-PROBES = 6
-#: Bytes of the filter that are broadcast together.
-SEGMENT = 96 << 20
+UNI, BI, CONTEXT = 0, 1, 2
+#: Probes of an event by kind; the filter takes probes / ln 2 bits for one.
+PROBES = (6, 6, 20)
+#: Bytes of a filter that is broadcast, and of the regions that a task holds otherwise.
+SEGMENT, SHARD = 96 << 20, 4 << 20
 #: Words whose exact counts are broadcast (16 bytes each).
 EXACT = 1 << 20
 #: Text bytes that one bucket of counts stands for, and tokens that a task sorts at once.
@@ -58,7 +64,6 @@ FLUSH = 4_000_000
 
 _U = np.uint64
 END, START = _U(0x1B56C4E9A3D0F217), _U(0x6A09E667F3BCC909)
-UNI, BI, CONTEXT = 0, 1, 2
 
 
 def tokens(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,14 +102,19 @@ def _bytes(key: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
 
 def _packed(kind: int, key: np.ndarray, count: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """Sorted keys and their counts by bucket."""
-    b = bucket_of(kind, key, bits).astype(np.uint16 if bits <= 16 else np.uint32)
-    order = np.argsort(b, kind="stable")
-    cut = np.r_[0, np.cumsum(np.bincount(b, minlength=1 << bits))]
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        one = order[cut[k] : cut[k + 1]]
+    b = bucket_of(kind, key, bits)
+    for k, one in _split(b):
         yield k, kind, *_bytes(key[one], count[one])
 
 
+def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part's number, in order, and where its elements are."""
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(part) else np.zeros(0, int)
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+        yield int(part[order[a]]), order[a:z]
+
+
 def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     key, many = np.frombuffer(keys, _U), np.frombuffer(counts, "<u8")
     return key, np.concatenate([np.ones(len(key) - len(many), np.uint64), many])
@@ -140,6 +150,8 @@ def level(count: np.ndarray) -> np.ndarray:
 
 #: The count that a level stands for: the middle of 2**(q-1) .. 2**q - 1; 0 for level 0.
 VALUE = np.array([0.0, 1.0, *(((1 << q - 1) + (1 << q) - 1) / 2 for q in range(2, 64))])
+#: Event of a bit beside those of levels.
+BIT = 64
 
 
 def _steps(key: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,60 +165,95 @@ def _place(h: np.ndarray, step: np.ndarray, probe: int, bits: np.ndarray | np.ui
     return (((h + step * _U(probe)) >> _U(32)) * bits >> _U(32)).astype(np.int64)
 
 
-def region(key: np.ndarray, count: np.ndarray) -> bytes:
-    """The part of the filter that holds these n-grams."""
+def _events(kind: int, key: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Event numbers and the keys that have them."""
     q = level(count)
-    bits = -(-int(q.sum() * PROBES / np.log(2) + 64) // 64) * 64
-    out = np.zeros(bits, bool)
     for k in range(1, int(q.max(initial=0)) + 1):
-        part = key[q >= k]
+        yield k, key[q >= k]
+        if kind == CONTEXT:
+            yield BIT + k - 1, key[(q > k) & (count >> _U(k - 1) & _U(1) > 0)]
+
+
+def region(kind: int, key: np.ndarray, count: np.ndarray) -> bytes:
+    """The part of the filter that holds these n-grams."""
+    events = sum(len(part) for _, part in _events(kind, key, count))
+    bits = -(-int(events * PROBES[kind] / np.log(2) + 64) // 64) * 64
+    out = np.zeros(bits, bool)
+    for event, part in _events(kind, key, count):
         for at in range(0, len(part), 1 << 18):
-            h, step = _steps(part[at : at + (1 << 18)], k)
-            for probe in range(PROBES):
+            h, step = _steps(part[at : at + (1 << 18)], event)
+            for probe in range(PROBES[kind]):
                 out[_place(h, step, probe, _U(bits))] = True
     return np.packbits(out).tobytes()
 
 
 class Filter:
-    """One segment: regions by kind and bucket."""
+    """Regions by kind and bucket, of the ``span`` buckets from ``base`` on."""
 
-    def __init__(self, bits: int, regions: dict[tuple[int, int], bytes]):
-        self.bits = bits
-        self.start = np.zeros((3, 1 << bits), np.int64)
-        self.size = np.zeros((3, 1 << bits), _U)
+    def __init__(self, bits: int, regions: dict[tuple[int, int], bytes], base: int = 0, span: int | None = None):
+        self.bits, self.base = bits, base
+        span = 1 << bits if span is None else span
+        self.start = np.zeros((3, span), np.int64)
+        self.size = np.zeros((3, span), _U)
         at = 0
         for (kind, bucket), data in regions.items():
-            self.start[kind, bucket], self.size[kind, bucket] = at * 8, len(data) * 8
+            self.start[kind, bucket - base], self.size[kind, bucket - base] = at * 8, len(data) * 8
             at += len(data)
         self.data = np.frombuffer(b"".join(regions.values()), np.uint8)
 
-    def levels(self, kind: int, key: np.ndarray) -> np.ndarray:
-        """The quantised count of each key, by probes for 1, 2, ... until one fails."""
-        b = bucket_of(kind, key, self.bits)
+    def _held(self, kind: int, event: int, key: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of ``at``, the places of the keys that have an event, as far as the filter knows."""
+        h, step = _steps(key[at], event)
+        own, first = size[at], start[at]
+        for probe in range(PROBES[kind]):  # most absent keys fail the first ones
+            p = _place(h, step, probe, own) + first
+            hit = (self.data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
+            at, h, step, own, first = (x[hit] for x in (at, h, step, own, first))
+        return at
+
+    def read(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """The level of each key, by probes for 1, 2, ... until one fails; of a context, its number."""
+        b = bucket_of(kind, key, self.bits) - self.base
         start, size = self.start[kind, b], self.size[kind, b]
-        out = np.zeros(len(key), np.uint8)
+        out = np.zeros(len(key), np.uint64 if kind == CONTEXT else np.uint8)
         alive = np.flatnonzero(size)
         q = 0
-        while len(alive):
+        while len(alive) and q < BIT - 1:
             q += 1
-            h, step = _steps(key[alive], q)
-            own, first = size[alive], start[alive]
-            for probe in range(PROBES):  # most absent keys fail the first ones
-                p = _place(h, step, probe, own) + first
-                hit = (self.data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
-                alive, h, step, own, first = (x[hit] for x in (alive, h, step, own, first))
+            alive = self._held(kind, q, key, alive, start, size)
             out[alive] = q
+        if kind == CONTEXT:
+            top, out = out.astype(np.int64), (_U(1) << np.maximum(out, _U(1)) - _U(1)) * (out > 0)
+            for i in range(int(top.max(initial=0)) - 1):
+                out[self._held(kind, BIT + i, key, np.flatnonzero(top > i + 1), start, size)] |= _U(1) << _U(i)
         return out
 
 
+def keys(kind: int, tok: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return tok if kind == UNI else context_key(before) if kind == CONTEXT else bigram_key(tok, before)
+
+
+class Model:
+    """The two distributions, given what the filter says.  V and S: types and filter values of unigrams."""
+
+    def __init__(self, types: int, value: float):
+        self.total = value + 0.1 * (types + 1)
+
+    def probability(self, uni: np.ndarray, bi: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """p(w | h) from the levels of w and of (h, w), and the number of h, which is 2 s(h)."""
+        p = (VALUE[uni] + 0.1) / self.total
+        return (np.where(context > 0, VALUE[bi], 0.0) + MU * p) / (context / 2 + MU)
+
+
 def _is_held(mod: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == 0, F.lit(False))
 
 
 def counts(train: DataFrame) -> tuple[DataFrame, int]:
-    """Exact counts of the texts' n-grams, packed by kind and bucket, and the bits of a bucket number."""
+    """Exact counts of the texts' n-grams, packed by kind and bucket, and the bits of a bucket
+    number.  A context's number is 2 s(h), the filter values of its bigrams added up."""
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(20, max(3, (size // BUCKET_BYTES).bit_length()))
+    bits = max(3, (size // BUCKET_BYTES).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, bi, n = [], [], 0
@@ -238,7 +285,7 @@ def counts(train: DataFrame) -> tuple[DataFrame, int]:
         for b in batches:
             for k, c in zip(*b.columns):
                 key, c = _unpacked(k.as_buffer(), c.as_buffer())
-                for row in _packed(CONTEXT, *_summed(key >> _U(28), c), bits):
+                for row in _packed(CONTEXT, *_summed(key >> _U(28), (2 * VALUE[level(c)]).astype(np.uint64)), bits):
                     yield _rows([row])
 
     merged = storage.kept(train.select("text").mapInArrow(count, _PACKED).groupBy("kind", "bucket").applyInArrow(_merge, _PACKED), "ngrams")
@@ -279,33 +326,97 @@ def _regions(ngrams: DataFrame) -> DataFrame:
         for b in batches:
             for bucket, kind, k, c in zip(*b.columns):
                 if len(k.as_buffer()):
-                    yield _rows([(bucket, kind, region(*_unpacked(k.as_buffer(), c.as_buffer())), b"")])
+                    yield _rows([(bucket, kind, region(kind.as_py(), *_unpacked(k.as_buffer(), c.as_buffer())), b"")])
 
     return ngrams.select("bucket", "kind", "keys", "counts").mapInArrow(build, _PACKED).select("kind", "bucket", F.col("keys").alias("region"), F.length("keys").alias("size"))
 
 
-def segments(regions: DataFrame) -> list[list[tuple[int, int]]]:
-    """(kind, bucket) of the regions of each segment, none of more than SEGMENT bytes unless it is one region."""
-    out: list[list[tuple[int, int]]] = []
-    held = SEGMENT + 1
-    for kind, bucket, size in regions.select("kind", "bucket", "size").orderBy("kind", "bucket").toLocalIterator():
-        if held + size > SEGMENT:
-            out.append([])
-            held = 0
-        out[-1].append((kind, bucket))
-        held += size
-    return out
+def _probed(f: Filter, tok: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
+    """What the filter says of the word, its bigram and its context, for each token."""
+    out = []
+    for kind in (UNI, CONTEXT):
+        one, at = np.unique(keys(kind, tok, before), return_inverse=True)
+        out.append(f.read(kind, one)[at])
+    ask = np.flatnonzero(out[1])  # a context without bigrams needs no probe for them
+    bi = np.zeros(len(tok), np.uint8)
+    bi[ask] = f.read(BI, keys(BI, tok[ask], before[ask]))
+    return [out[0], bi, out[1]]
+
+
+def _dealt(rows: DataFrame, regions: DataFrame, bits: int, shards: int, result, out_schema: str) -> DataFrame:
+    """Scores by a filter that is dealt out: ``rows`` (doc_id, held_out, text) in slices, each
+    slice's distinct n-grams to the shards of the filter that hold them, and the answers back."""
+    shift = max(0, bits - (shards - 1).bit_length())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for row, end, _, _ in word_batches(b.column(2)):
+                own = [pa.array([b.column(k).slice(row, end - row).to_pylist()], t) for k, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *own], ["slice", "ids", "held", "texts"])
+                n += 1
+
+    def asked(texts: pa.Array) -> tuple:
+        """Tokens and offsets of a slice; and by kind, distinct keys in order of shard, and where tokens find theirs."""
+        parts = [tokens(h, at) for _, _, h, at in word_batches(texts)]
+        sizes = np.concatenate([np.diff(o) for _, _, o in parts])
+        tok, before = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        out = []
+        for kind in (UNI, BI, CONTEXT):
+            one, at = np.unique(keys(kind, tok, before), return_inverse=True)
+            shard = bucket_of(kind, one, bits) >> shift
+            order = np.argsort(shard, kind="stable")
+            place = np.empty(len(one), np.int64)
+            place[order] = np.arange(len(one))
+            out.append((one[order], shard[order], place[at]))
+        return tok, np.r_[0, np.cumsum(sizes)], out
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, texts in zip(b.column(0).to_pylist(), b.column(1)):
+                for kind, (key, shard, _) in enumerate(asked(texts.values)[2]):
+                    held = [(k, n, kind, key[at].tobytes()) for k, at in _split(shard)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), [pa.int64(), pa.int64(), pa.int32(), pa.binary()])], ["shard", "slice", "kind", "keys"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        out = asked.select(["shard", "slice", "kind"])
+        if not len(asked):
+            return out.append_column("answers", pa.array([], pa.binary()))
+        base = asked["shard"][0].as_py() << shift
+        f = Filter(bits, {(k, b): r for k, b, r in zip(*(own[c].to_pylist() for c in ("kind", "bucket", "region")))}, base, 1 << shift)
+        said = [f.read(kind, np.frombuffer(key.as_buffer(), _U)).tobytes() for kind, key in zip(asked["kind"].to_pylist(), asked["keys"])]
+        return out.append_column("answers", pa.array(said, pa.binary()))
+
+    def add_up(own: pa.Table, said: pa.Table) -> pa.Table:
+        tok, offs, wanted = asked(own["texts"].combine_chunks().values)
+        told = {(kind, k): x.as_buffer() for kind, k, x in zip(said["kind"].to_pylist(), said["shard"].to_pylist(), said["answers"])}
+        read = []
+        for kind, (_, shard, place) in enumerate(wanted):
+            parts = [np.frombuffer(told[kind, k], np.uint64 if kind == CONTEXT else np.uint8) for k, _ in _split(shard)]
+            read.append(np.concatenate(parts)[place])
+        return pa.Table.from_batches([result(own["ids"].combine_chunks().values, own["held"].combine_chunks().values, tok, offs, read)])
+
+    slices = storage.kept(rows.mapInArrow(cut, "slice long, ids array<long>, held array<boolean>, texts array<string>"), "slices")
+    asks = slices.select("slice", "texts").mapInArrow(ask, "shard long, slice long, kind int, keys binary")
+    held = regions.select(F.shiftright(F.col("bucket").cast("long"), shift).alias("shard"), "kind", "bucket", "region")
+    said = asks.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, "shard long, slice long, kind int, answers binary")
+    return slices.groupBy("slice").cogroup(said.groupBy("slice")).applyInArrow(add_up, out_schema)
 
 
 def score(docs: DataFrame, fold: int = 10) -> DataFrame:
     """Learn from the documents (doc_id, text) whose crc32(doc_id as text) mod ``fold`` is
     not 0, and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return storage.settled(docs.sparkSession, lambda: _score(docs, fold), "scores")
+
+
+def _score(docs: DataFrame, fold: int) -> DataFrame:
+    storage.small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ngrams, bits = counts(docs.where(~_is_held(fold)))
     told = _totals(ngrams)
     v, n, s = (sum(x[k] for x in told.values()) for k in range(3))
-    d_base, d_uni = n + 0.1 * (v + 1), s + 0.1 * (v + 1)
+    d_base = n + 0.1 * (v + 1)
 
     least, types = 64, 0  # exact counts of the levels from ``least`` on are broadcast
     while least > 1 and types + told.get(least - 1, (0,))[0] <= EXACT:
@@ -319,27 +430,11 @@ def score(docs: DataFrame, fold: int = 10) -> DataFrame:
     del top, key, c, order
 
     regions = storage.kept(_regions(ngrams), "regions")
-    parts = segments(regions)
-
-    def load(part: list[tuple[int, int]]):
-        own = regions.where(F.struct("kind", "bucket").between(F.struct(F.lit(part[0][0]), F.lit(part[0][1])), F.struct(F.lit(part[-1][0]), F.lit(part[-1][1])))) if len(parts) > 1 else regions
-        return sc.broadcast(Filter(bits, {(r[0], r[1]): r[2] for r in own.select("kind", "bucket", "region").toLocalIterator()}))
-
-    def probe(f: Filter, tok: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Levels of the word, of its bigram and of its context, for each token."""
-        out = np.zeros((3, len(tok)), np.uint8)
-        for kind, key in ((UNI, tok), (CONTEXT, context_key(before))):
-            one, at = np.unique(key, return_inverse=True)
-            out[kind] = f.levels(kind, one)[at]
-        # A context of its own segment without bigrams needs no probe for them.
-        ask = np.flatnonzero(out[CONTEXT]) if len(parts) <= 1 else np.arange(len(tok))
-        out[BI, ask] = f.levels(BI, bigram_key(tok[ask], before[ask]))
-        return out
+    model = Model(v, s)
 
-    def result(ids: pa.Array, held: pa.Array, tok: np.ndarray, offs: np.ndarray, lev: np.ndarray) -> pa.RecordBatch:
+    def result(ids: pa.Array, held: pa.Array, tok: np.ndarray, offs: np.ndarray, read: list[np.ndarray]) -> pa.RecordBatch:
         key, c = exact.value
-        p = (VALUE[lev[UNI]] + 0.1) / d_uni
-        p = (np.where(lev[CONTEXT] > 0, VALUE[lev[BI]], 0.0) + MU * p) / (VALUE[lev[CONTEXT]] + MU)
+        p = model.probability(*read)
         one, at = np.unique(tok, return_inverse=True)
         k = np.minimum(np.searchsorted(key, one), max(len(key) - 1, 0))
         hit = key[k] == one if len(key) else np.zeros(len(one), bool)
@@ -356,42 +451,19 @@ def score(docs: DataFrame, fold: int = 10) -> DataFrame:
 
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, score double, rare array<long>"
     rows = docs.select("doc_id", _is_held(fold).alias("held_out"), "text")
-    if len(parts) <= 1:
-        shared = load(parts[0]) if parts else sc.broadcast(Filter(bits, {}))
+    size = regions.agg(F.sum("size")).first()[0] or 0
+    if size <= SEGMENT:
+        shared = sc.broadcast(Filter(bits, {(r[0], r[1]): r[2] for r in regions.select("kind", "bucket", "region").toLocalIterator()}))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row, end, h, at in word_batches(b.column(2)):
                     tok, before, offs = tokens(h, at)
-                    yield result(b.column(0).slice(row, end - row), b.column(1).slice(row, end - row), tok, offs, probe(shared.value, tok, before))
+                    yield result(b.column(0).slice(row, end - row), b.column(1).slice(row, end - row), tok, offs, _probed(shared.value, tok, before))
 
         scored = rows.mapInArrow(whole, out_schema)
     else:
-        rows = rows.withColumn("lev", F.lit(None).cast("binary"))
-        for part in parts:
-            shared = load(part)
-
-            def some(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    for row, end, h, at in word_batches(b.column(2)):
-                        tok, before, offs = tokens(h, at)
-                        lev, was = probe(shared.value, tok, before), b.column(3).slice(row, end - row).to_pylist()
-                        new = [np.ascontiguousarray(lev[:, a:z]) if w is None else np.maximum(lev[:, a:z], np.frombuffer(w, np.uint8).reshape(3, -1)) for w, a, z in zip(was, offs[:-1], offs[1:])]
-                        yield pa.RecordBatch.from_arrays([*(b.column(k).slice(row, end - row) for k in range(3)), pa.array([x.tobytes() for x in new], pa.binary())], ["doc_id", "held_out", "text", "lev"])
-
-            before_rows, rows = rows, storage.kept(rows.mapInArrow(some, "doc_id long, held_out boolean, text string, lev binary"), "levels")
-            if hasattr(before_rows, "kept_at"):
-                storage.drop(before_rows)
-            shared.unpersist()
-
-        def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row, end, h, at in word_batches(b.column(2)):
-                    tok, _, offs = tokens(h, at)
-                    lev = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in b.column(3).slice(row, end - row).to_pylist()], 1)
-                    yield result(b.column(0).slice(row, end - row), b.column(1).slice(row, end - row), tok, offs, lev)
-
-        scored = rows.mapInArrow(last, out_schema)
+        scored = _dealt(rows, regions, bits, -(-size // SHARD), result, out_schema)
 
     scored = storage.kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     few = _unigrams(ngrams, lambda c: c < floor)

@@ -13,7 +13,8 @@ A null html is an empty payload; a null or empty url leaves the target out of th
 Rows that repeat the largest page_id of a payload are all responses.  A null page_id is
 never referred to: such a row is a response unless a row with an id has its payload.
 Control characters and spaces of a url are percent-encoded in the header and kept in the
-index.  Empty tables write nothing and read back empty; further columns are ignored.
+index.  A long page is compressed as one record, one page at a time.  Empty tables write
+nothing and read back empty; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,6 +93,7 @@ def parse(member: bytes) -> tuple:
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write archives of ``pages`` (page_id, url, html) to ``folder``; returns the index."""
+    storage.small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
     large = F.octet_length("html") >= SHARED_FROM
