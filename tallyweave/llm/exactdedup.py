@@ -15,8 +15,10 @@ the incoming batch, so the snapshot's ids are the smaller ones and stay.
 
 Null ids are grouped too, as part of the incoming batch: a group that has a non-null id
 keeps that row, one of null ids only keeps all of its rows.  (A batch group of null ids is
-matched with the snapshot by SHA-256 alone, as its bytes cannot be looked up by id.)  Rows that repeat both id and text are all returned with the
-same ``keep_id``.  Further columns are ignored.  An empty table gives an empty result.
+matched with the snapshot by SHA-256 alone, as its bytes cannot be looked up by id.)  Rows
+that repeat both id and text are all returned with the same ``keep_id``.  A long text is
+normalised and hashed whole, one at a time.  Further columns are ignored.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -120,6 +122,12 @@ def against(snapshot: DataFrame, filters: DataFrame, batch: DataFrame, buckets:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    return storage.settled(docs.sparkSession, lambda: _judged(docs), "groups").withColumn("text_sha256", F.lower(F.hex("text_sha256")))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """dedup with the bytes of the SHA-256."""
+    storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     late = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(True)) if middle is not None else F.lit(False)
@@ -135,10 +143,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     new = batch.join(both.select("digest", "keep_old", "less"), "digest", "left").select("digest", F.lit(True).alias("late"), F.coalesce("keep_old", "keep_new").alias("keep_id"), (F.col("n_new") + F.coalesce("less", F.lit(0))).alias("group_size"))
     groups = old.unionByName(new)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return prints.join(groups, ["digest", "late"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return prints.join(groups, ["digest", "late"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents whose text an earlier id has."""
-    judged = dedup(docs).select("doc_id", F.unhex("text_sha256").alias("digest"), "kept")
-    return storage.without(docs, judged, lambda t: t.mapInArrow(_digested, "doc_id long, text string, digest binary"), BROADCAST_IDS)
+    with storage.scratch(docs.sparkSession):
+        judged = _judged(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+        return storage.without(docs, judged, lambda t: t.mapInArrow(_digested, "doc_id long, text string, digest binary"), BROADCAST_IDS)

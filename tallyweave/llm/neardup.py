@@ -19,8 +19,10 @@ Steps, with what each of them moves:
 
 Nulls, empty texts and texts without words have an empty set and are linked with nothing.
 Rows that repeat a ``doc_id`` are all returned; each takes the component of its own set, so
-one id on two texts can be in two components, one kept and one not.  Rows with a null ``doc_id`` take no part in links and
-get a null component.  Further columns of the input are ignored.
+one id on two texts can be in two components, one kept and one not.  Rows with a null
+``doc_id`` take no part in links and get a null component.  A long text is read a slice at a
+time; its set of shingles, eight bytes each, is held whole.  An empty table gives an empty
+result.  Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -155,10 +157,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """The links between the outsiders and the members of one block, where their groups differ."""
-    side, rep, comp = group["outside"].to_numpy(), group["rep"].to_numpy(), group["comp"].to_numpy()
+    """Links between the outsiders and the members of one block, as many as join their groups.
+
+    Groups that a link has joined count as one from then on, so there are fewer links than
+    groups, however many pairs are alike.
+    """
+    side, rep = group["outside"].to_numpy(), group["rep"].to_numpy()
     sets = [np.frombuffer(x.as_buffer(), _U) for x in group["set"]]
     size = np.array([len(s) for s in sets])
+    of = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
     out = np.flatnonzero(side)
     links: list[tuple[int, int]] = []
     if len(out):
@@ -166,17 +173,23 @@ def _across(group: pa.Table) -> pa.Table:
         order = np.argsort(value, kind="stable")
         value, owner = value[order], np.repeat(np.arange(len(out)), size[out])[order]
         for k in np.flatnonzero(~side):
+            if (of[out] == of[k]).all():
+                continue
             lo, hi = np.searchsorted(value, sets[k], "left"), np.searchsorted(value, sets[k], "right")
             n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             both = np.bincount(owner[at], minlength=len(out))
-            ok = (100 * both >= PERCENT * (size[out] + size[k] - both)) & (comp[out] != comp[k])
-            links += [(min(int(rep[k]), int(rep[x])), max(int(rep[k]), int(rep[x]))) for x in out[ok]]
+            alike = out[(100 * both >= PERCENT * (size[out] + size[k] - both)) & (of[out] != of[k])]
+            for x in alike[np.unique(of[alike], return_index=True)[1]].tolist():
+                links.append((min(int(rep[k]), int(rep[x])), max(int(rep[k]), int(rep[x]))))
+                of[of == of[x]] = of[k]
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 #: Shingles of the outsiders, and of the members, that one block compares: bound a task's memory.
 OUTSIDE, INSIDE = 1 << 19, 1 << 21
+#: Rows of outsiders that one block compares at most, and of members at least.
+OUT_ROWS, IN_ROWS = 1 << 13, 1 << 9
 
 
 def _torn_links(of: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,7 +202,12 @@ def _torn_links(of: DataFrame, sets: DataFrame) -> DataFrame:
     shingles, so neither pairs nor whole groups are ever gathered.
     """
     outside = F.col("comp") != F.col("home")
-    total = of.groupBy("home").agg(F.ceil(F.sum(F.when(outside, F.col("n")).otherwise(0)) / OUTSIDE).alias("parts"), F.ceil(F.sum("n") / INSIDE).alias("blocks"))
+    total = of.groupBy("home").agg(F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("n_out"), F.count_if(outside).alias("rows_out"), F.sum("n").alias("n_in"), F.count("*").alias("rows_in"))
+    parts = F.ceil(F.greatest(F.col("n_out") / OUTSIDE, F.col("rows_out") / OUT_ROWS))
+    # A block has no fewer members than outsiders, so copies of the outsiders no more than double the rows.
+    least = F.greatest(F.least("rows_out", F.lit(OUT_ROWS)), F.lit(IN_ROWS))
+    blocks = F.ceil(F.greatest(F.col("n_in") / INSIDE, F.col("rows_in") / least))
+    total = total.select("home", F.greatest(parts, F.lit(1)).alias("parts"), F.greatest(blocks, F.lit(1)).alias("blocks"))
     dealt = of.join(total, "home").withColumn("outside", outside).withColumn("hash", F.xxhash64("rep"))
     part, block = F.pmod("hash", "parts"), F.pmod("hash", "blocks")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -201,12 +219,12 @@ def _torn_links(of: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    return _grouped(docs).drop("digest")
+    return storage.settled(docs.sparkSession, lambda: _grouped(docs).drop("digest"), "groups")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     """near_duplicates with the digest of each row's set."""
-    spark = docs.sparkSession
+    storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = storage.kept(docs.mapInArrow(_sketch, _SKETCH), "sketch")
 
@@ -249,12 +267,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
         comp = storage.kept(comp.join(least, "component").select("node", F.col("least").alias("component")), "components")
     storage.drop(sets, bucket, of, wanted, first, links, more)
 
-    # Every row takes the component of the row that stands for its set.
+    # Every row takes the component of the row that stands for its set.  Empty sets, which
+    # may be many, stand for themselves and are not shuffled.
     by_set = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "id").alias("by_set"))
-    out = sketch.join(by_set, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("by_set", "doc_id")))
+    some = sketch.where("digest is not null").join(by_set, "digest", "left")
+    rows = some.unionByName(sketch.where("digest is null").withColumn("by_set", F.lit(None).cast("long")))
+    out = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("by_set", "doc_id")))
     return out.select("doc_id", "digest", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without the documents that near_duplicates drops."""
-    return storage.without(docs, _grouped(docs), lambda t: t.mapInArrow(_digested, "doc_id long, text string, digest binary"), BROADCAST_IDS)
+    with storage.scratch(docs.sparkSession):
+        return storage.without(docs, _grouped(docs), lambda t: t.mapInArrow(_digested, "doc_id long, text string, digest binary"), BROADCAST_IDS)

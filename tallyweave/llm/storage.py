@@ -7,9 +7,11 @@ local mode, where one machine is the whole cluster, may leave it unset.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -36,24 +38,58 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch: a worker and its JVM each hold a batch or two of whole texts.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch: a worker and its JVM each hold a batch or two of whole
+#: texts, and a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches to ``BATCH_ROWS``; queries over long texts call it."""
+    """Bound the session's Arrow batches by rows and by bytes; all that read texts call it.
+
+    Plans are made when they run, long after an operator has returned its DataFrame, so the
+    settings stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+#: What :func:`kept` wrote in each open :func:`scratch`.
+_open: list[list[str]] = []
+
 
+def kept(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors.
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors."""
+    A ``lasting`` table outlives the innermost scratch.
+    """
     path = fresh(df.sparkSession, tag)
+    for made in _open[:-1][-1:] if lasting else _open[-1:]:
+        made.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables kept inside of it but for lasting ones."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for path in made:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that it kept on its way are deleted."""
+    with scratch(spark):
+        return kept(make(), tag, lasting=True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until ``df`` has no column of it."""
     held = {c.lower() for c in df.columns}
@@ -67,10 +103,11 @@ def without(docs: DataFrame, judged: DataFrame, digested, broadcast_ids: int) ->
 
     Most go by id alone.  An id of which one text stays and another goes is told by its
     texts, whose digests ``digested`` makes: (doc_id, text) to (doc_id, text, digest).
+    Nothing but ``docs`` and lasting tables is read once this has returned.
     """
     name, told = unused(docs, "gone"), unused(docs, "gone_text")
     ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
-    gone = kept(ids.where("not every").select(F.col("doc_id").alias(name), F.col("some").alias("some")), "gone")
+    gone = kept(ids.where("not every").select(F.col("doc_id").alias(name), F.col("some").alias("some")), "gone", lasting=True)
     mixed = gone.where("some").select(F.col(name).alias("doc_id"))
     whole = gone.where("not some").select(name)
     small = gone.count() <= broadcast_ids
@@ -80,7 +117,7 @@ def without(docs: DataFrame, judged: DataFrame, digested, broadcast_ids: int) ->
         return out
     bad = judged.where("not kept").join(near(mixed), "doc_id", "left_semi").select("doc_id", "digest").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near(mixed), "doc_id", "left_semi")
-    pairs = kept(digested(texts).join(bad, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(name), F.col("text").alias(told)).distinct(), "gone")
+    pairs = kept(digested(texts).join(bad, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(name), F.col("text").alias(told)).distinct(), "gone", lasting=True)
     return out.join(pairs, (F.col("doc_id") == F.col(name)) & F.col("text").eqNullSafe(F.col(told)), "left_anti")
 
 
