@@ -131,7 +131,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     late = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(True)) if middle is not None else F.lit(False)
-    prints = storage.kept(docs.mapInArrow(_digests, "doc_id long, digest binary").withColumn("late", late), "prints")
+    prints = storage.kept(docs.mapInArrow(_digests, "doc_id long, digest binary").withColumn("late", late), "prints", wide=True)
 
     snapshot = storage.kept(distinct(prints.where("not late"), "keep_old", "n_old"), "snapshot")
     batch = storage.kept(distinct(prints.where("late"), "keep_new", "n_new"), "batch")

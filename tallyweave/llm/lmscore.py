@@ -17,9 +17,9 @@ probes.  The filter has a region for each kind and bucket of n-grams, sized by w
 so every bucket builds its region alone.
 
 A filter of at most ``SEGMENT`` bytes is broadcast, and all is scored in one pass.  A larger
-one is not gathered anywhere: the distinct n-grams of each slice of texts are sent to the
-task that holds their regions, and their counts come back to the slice.  That is one shuffle
-however large the filter is.
+one is not gathered anywhere: texts are written in slices, the distinct n-grams of a slice are
+sent to the tasks that hold their regions, and their counts come back to the slice.  That is
+one exchange, of n-grams and never of texts, however large the filter is.
 
 Counting moves packed, sorted arrays of 64-bit keys, one row for each task and bucket; no
 bucket has a hot key, as bigrams are dealt by both of their words.  All training documents
@@ -53,14 +53,16 @@ from tallyweave.llm.textnum import mix, word_batches
 MU = 8.0
 UNI, BI, CONTEXT = 0, 1, 2
 #: Probes of an event by kind; the filter takes probes / ln 2 bits for one.
-PROBES = (6, 6, 20)
+PROBES = (6, 6, 10)
 #: Bytes of a filter that is broadcast, and of the regions that a task holds otherwise.
-SEGMENT, SHARD = 96 << 20, 4 << 20
+SEGMENT, SHARD = 96 << 20, 1 << 20
+#: Bytes of texts that ask a dealt filter together; a longer text asks alone.
+SLICE = 4 << 20
 #: Words whose exact counts are broadcast (16 bytes each).
 EXACT = 1 << 20
 #: Text bytes that one bucket of counts stands for, and tokens that a task sorts at once.
 BUCKET_BYTES = 16 << 20
-FLUSH = 4_000_000
+FLUSH = 3_000_000
 
 _U = np.uint64
 END, START = _U(0x1B56C4E9A3D0F217), _U(0x6A09E667F3BCC909)
@@ -94,10 +96,28 @@ def bucket_of(kind: int, key: np.ndarray, bits: int) -> np.ndarray:
     return (mix(key + _U(kind)) & _U((1 << bits) - 1)).astype(np.int64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as eight planes of bytes: the upper ones of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplaned(b: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+def _gaps(key: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return _planes(np.diff(key, prepend=_U(0)))
+
+
+def _ungapped(b: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    return np.cumsum(_unplaned(b), dtype=_U)
+
+
 def _bytes(key: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
-    """Keys that came once need no count; the others follow them."""
+    """Keys that came once need no count; the others follow them.  Both are sorted."""
     single = count == 1
-    return np.concatenate([key[single], key[~single]]).tobytes(), count[~single].astype("<u8").tobytes()
+    return _gaps(key[single]) + _gaps(key[~single]), _planes(count[~single])
 
 
 def _packed(kind: int, key: np.ndarray, count: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -115,9 +135,10 @@ def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), order[a:z]
 
 
-def _unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    key, many = np.frombuffer(keys, _U), np.frombuffer(counts, "<u8")
-    return key, np.concatenate([np.ones(len(key) - len(many), np.uint64), many])
+def _unpacked(keys: bytes | pa.Buffer, counts: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    raw, many = memoryview(keys), _unplaned(counts)
+    cut = len(raw) - 8 * len(many)
+    return np.concatenate([_ungapped(raw[:cut]), _ungapped(raw[cut:])]), np.concatenate([np.ones(cut // 8, np.uint64), many])
 
 
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +158,7 @@ def _rows(rows: list, names: list[str] = ["bucket", "kind", "keys", "counts"]) -
 
 def _merge(group: pa.Table) -> pa.Table:
     kind, bucket = group["kind"][0].as_py(), group["bucket"][0].as_py()
-    parts = [_unpacked(k.as_py(), c.as_py()) for k, c in zip(group["keys"], group["counts"])]
+    parts = [_unpacked(k.as_buffer(), c.as_buffer()) for k, c in zip(group["keys"], group["counts"])]
     key, count = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
     keys, counts = _bytes(key, count)
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "kind": pa.array([kind], pa.int32()), "keys": pa.array([keys], pa.binary()), "counts": pa.array([counts], pa.binary())})
@@ -166,7 +187,8 @@ def _place(h: np.ndarray, step: np.ndarray, probe: int, bits: np.ndarray | np.ui
 
 
 def _events(kind: int, key: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Event numbers and the keys that have them."""
+    """Event numbers and the keys that have them.  Numbers of contexts, from 2, are stored less 1."""
+    count = count - _U(1) if kind == CONTEXT else count
     q = level(count)
     for k in range(1, int(q.max(initial=0)) + 1):
         yield k, key[q >= k]
@@ -226,6 +248,7 @@ class Filter:
             top, out = out.astype(np.int64), (_U(1) << np.maximum(out, _U(1)) - _U(1)) * (out > 0)
             for i in range(int(top.max(initial=0)) - 1):
                 out[self._held(kind, BIT + i, key, np.flatnonzero(top > i + 1), start, size)] |= _U(1) << _U(i)
+            out += out > 0
         return out
 
 
@@ -249,9 +272,9 @@ def _is_held(mod: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == 0, F.lit(False))
 
 
-def counts(train: DataFrame) -> tuple[DataFrame, int]:
-    """Exact counts of the texts' n-grams, packed by kind and bucket, and the bits of a bucket
-    number.  A context's number is 2 s(h), the filter values of its bigrams added up."""
+def counts(train: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Exact counts of the texts' words and bigrams, packed by kind and bucket, those of their
+    contexts, and the bits of a bucket number.  A context's number is 2 s(h), the filter values of its bigrams added up."""
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, (size // BUCKET_BYTES).bit_length())
 
@@ -290,7 +313,7 @@ def counts(train: DataFrame) -> tuple[DataFrame, int]:
 
     merged = storage.kept(train.select("text").mapInArrow(count, _PACKED).groupBy("kind", "bucket").applyInArrow(_merge, _PACKED), "ngrams")
     ctx = merged.where(F.col("kind") == BI).select("keys", "counts").mapInArrow(contexts, _PACKED).groupBy("kind", "bucket").applyInArrow(_merge, _PACKED)
-    return merged.unionByName(storage.kept(ctx, "contexts")), bits
+    return merged, storage.kept(ctx, "contexts"), bits
 
 
 def _unigrams(ngrams: DataFrame, keep) -> DataFrame:
@@ -343,20 +366,59 @@ def _probed(f: Filter, tok: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
     return [out[0], bi, out[1]]
 
 
+#: Keys that are looked up at once in a dealt filter.
+KEYS = 200_000
+
+
+def _gathered(rows: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Neighbouring rows of one kind together, about KEYS keys at a time."""
+    last, held, n = 0, [], 0
+    for kind, key in rows:
+        if held and (kind != last or n >= KEYS):
+            yield last, held
+            held, n = [], 0
+        last, n = kind, n + len(key)
+        held.append(key)
+    if held:
+        yield last, held
+
+
 def _dealt(rows: DataFrame, regions: DataFrame, bits: int, shards: int, result, out_schema: str) -> DataFrame:
     """Scores by a filter that is dealt out: ``rows`` (doc_id, held_out, text) in slices, each
     slice's distinct n-grams to the shards of the filter that hold them, and the answers back."""
     shift = max(0, bits - (shards - 1).bit_length())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
-        for b in batches:
-            for row, end, _, _ in word_batches(b.column(2)):
-                own = [pa.array([b.column(k).slice(row, end - row).to_pylist()], t) for k, t in enumerate((pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string())))]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *own], ["slice", "ids", "held", "texts"])
-                n += 1
+        n, at, held, out = TaskContext.get().partitionId() << 32, 0, [], None
+
+        def row() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for x in held:
+                    w.write_batch(x)
+            data = sink.getvalue()
+            out.write(data)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (n, f"{folder}/{name}", at, len(data))], ["slice", "file", "at", "size"])
 
-    def asked(texts: pa.Array) -> tuple:
+        for b in batches:
+            if out is None:
+                name, out = storage.write_stream(folder, "slices")
+            if held and sum(x.nbytes for x in held) + b.nbytes > SLICE:
+                yield (one := row())
+                n, at, held = n + 1, at + one["size"][0].as_py(), []
+            if len(b):
+                held.append(b)
+        if held:
+            yield row()
+        if out is not None:
+            out.close()
+
+    def rows_of(file: str, at: int, size: int) -> pa.Table:
+        fs, path = storage.open_fs(file)
+        with fs.open_input_file(path) as f:
+            return pa.ipc.open_stream(f.read_at(size, at)).read_all().combine_chunks()
+
+    def asked(texts: pa.ChunkedArray) -> tuple:
         """Tokens and offsets of a slice; and by kind, distinct keys in order of shard, and where tokens find theirs."""
         parts = [tokens(h, at) for _, _, h, at in word_batches(texts)]
         sizes = np.concatenate([np.diff(o) for _, _, o in parts])
@@ -373,31 +435,39 @@ def _dealt(rows: DataFrame, regions: DataFrame, bits: int, shards: int, result,
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n, texts in zip(b.column(0).to_pylist(), b.column(1)):
-                for kind, (key, shard, _) in enumerate(asked(texts.values)[2]):
-                    held = [(k, n, kind, key[at].tobytes()) for k, at in _split(shard)]
+            for n, *place in zip(*(c.to_pylist() for c in b.columns)):
+                for kind, (key, shard, _) in enumerate(asked(rows_of(*place)["text"])[2]):
+                    held = [(k, n, kind, _gaps(key[at])) for k, at in _split(shard)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), [pa.int64(), pa.int64(), pa.int32(), pa.binary()])], ["shard", "slice", "kind", "keys"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        asked = asked.sort_by("kind")
         out = asked.select(["shard", "slice", "kind"])
         if not len(asked):
             return out.append_column("answers", pa.array([], pa.binary()))
         base = asked["shard"][0].as_py() << shift
         f = Filter(bits, {(k, b): r for k, b, r in zip(*(own[c].to_pylist() for c in ("kind", "bucket", "region")))}, base, 1 << shift)
-        said = [f.read(kind, np.frombuffer(key.as_buffer(), _U)).tobytes() for kind, key in zip(asked["kind"].to_pylist(), asked["keys"])]
+        said: list[bytes] = []
+        for kind, part in _gathered(zip(asked["kind"].to_pylist(), (_ungapped(x.as_buffer()) for x in asked["keys"]))):
+            got = f.read(kind, np.concatenate(part))
+            for x in np.split(got, np.cumsum([len(x) for x in part])[:-1]):
+                said.append(_planes(x) if kind == CONTEXT else x.tobytes())
         return out.append_column("answers", pa.array(said, pa.binary()))
 
     def add_up(own: pa.Table, said: pa.Table) -> pa.Table:
-        tok, offs, wanted = asked(own["texts"].combine_chunks().values)
+        mine = rows_of(*(own[c][0].as_py() for c in ("file", "at", "size")))
+        tok, offs, wanted = asked(mine["text"])
         told = {(kind, k): x.as_buffer() for kind, k, x in zip(said["kind"].to_pylist(), said["shard"].to_pylist(), said["answers"])}
         read = []
         for kind, (_, shard, place) in enumerate(wanted):
-            parts = [np.frombuffer(told[kind, k], np.uint64 if kind == CONTEXT else np.uint8) for k, _ in _split(shard)]
+            parts = [_unplaned(told[kind, k]) if kind == CONTEXT else np.frombuffer(told[kind, k], np.uint8) for k, _ in _split(shard)]
             read.append(np.concatenate(parts)[place])
-        return pa.Table.from_batches([result(own["ids"].combine_chunks().values, own["held"].combine_chunks().values, tok, offs, read)])
+        return pa.Table.from_batches([result(mine["doc_id"].chunk(0), mine["held_out"].chunk(0), tok, offs, read)])
 
-    slices = storage.kept(rows.mapInArrow(cut, "slice long, ids array<long>, held array<boolean>, texts array<string>"), "slices")
-    asks = slices.select("slice", "texts").mapInArrow(ask, "shard long, slice long, kind int, keys binary")
+    folder = storage.folder(rows.sparkSession, "slices")
+    slices = storage.kept(rows.mapInArrow(cut, "slice long, file string, at long, size long"), "slices", wide=True)
+    tasks = max(-(-slices.count() // 8), rows.sparkSession.sparkContext.defaultParallelism)
+    asks = slices.repartitionByRange(tasks, "slice").mapInArrow(ask, "shard long, slice long, kind int, keys binary")
     held = regions.select(F.shiftright(F.col("bucket").cast("long"), shift).alias("shard"), "kind", "bucket", "region")
     said = asks.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(answer, "shard long, slice long, kind int, answers binary")
     return slices.groupBy("slice").cogroup(said.groupBy("slice")).applyInArrow(add_up, out_schema)
@@ -413,7 +483,7 @@ def _score(docs: DataFrame, fold: int) -> DataFrame:
     storage.small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ngrams, bits = counts(docs.where(~_is_held(fold)))
+    ngrams, contexts, bits = counts(docs.where(~_is_held(fold)))
     told = _totals(ngrams)
     v, n, s = (sum(x[k] for x in told.values()) for k in range(3))
     d_base = n + 0.1 * (v + 1)
@@ -423,13 +493,15 @@ def _score(docs: DataFrame, fold: int) -> DataFrame:
         least -= 1
         types += told.get(least, (0,))[0]
     floor = 1 << (least - 1)
-    top = _unigrams(ngrams, lambda c: c >= floor).toArrow()
+    regions = storage.kept(_regions(ngrams.unionByName(contexts)), "regions")
+    unigrams = storage.kept(ngrams.where(F.col("kind") == UNI), "unigrams")
+    storage.drop(ngrams, contexts)
+    top = _unigrams(unigrams, lambda c: c >= floor).toArrow()
     key, c = top["key"].to_numpy().view(_U), top["c"].to_numpy()
     order = np.argsort(key)
     exact = sc.broadcast((key[order], c[order]))
     del top, key, c, order
 
-    regions = storage.kept(_regions(ngrams), "regions")
     model = Model(v, s)
 
     def result(ids: pa.Array, held: pa.Array, tok: np.ndarray, offs: np.ndarray, read: list[np.ndarray]) -> pa.RecordBatch:
@@ -465,8 +537,8 @@ def _score(docs: DataFrame, fold: int) -> DataFrame:
     else:
         scored = _dealt(rows, regions, bits, -(-size // SHARD), result, out_schema)
 
-    scored = storage.kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    few = _unigrams(ngrams, lambda c: c < floor)
+    scored = storage.kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored", wide=True)
+    few = _unigrams(unigrams, lambda c: c < floor)
     rare = scored.select("row", F.explode("rare").alias("key")).join(few, "key", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(d_base)))).alias("base_rare"), F.count("c").alias("n_rare"))
     out = scored.drop("rare").join(rare, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))

@@ -226,7 +226,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """near_duplicates with the digest of each row's set."""
     storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = storage.kept(docs.mapInArrow(_sketch, _SKETCH), "sketch")
+    sketch = storage.kept(docs.mapInArrow(_sketch, _SKETCH), "sketch", wide=True)
 
     # Equal sets stand as one: all rows of a digest have the same band keys.
     reps = sketch.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))

@@ -38,9 +38,17 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """:func:`fresh`, deleted at the end of the innermost scratch."""
+    path = fresh(spark, tag)
+    for made in _open[-1:]:
+        made.append(path)
+    return path
+
+
 #: Rows and bytes of an Arrow batch: a worker and its JVM each hold a batch or two of whole
 #: texts, and a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -57,15 +65,21 @@ def small_batches(spark: SparkSession) -> None:
 _open: list[list[str]] = []
 
 
-def kept(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
+#: Files of a kept table for each core of the cluster, at most, unless it is wide.
+FILES = 4
+
+
+def kept(df: DataFrame, tag: str, lasting: bool = False, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors.
 
-    A ``lasting`` table outlives the innermost scratch.
+    A ``lasting`` table outlives the innermost scratch.  Tables of ids, links and the like are
+    written by a few tasks a core, so that a small one is not thousands of files; ``wide``
+    ones, made by a pass over texts, by as many tasks as they have partitions.
     """
     path = fresh(df.sparkSession, tag)
     for made in _open[:-1][-1:] if lasting else _open[-1:]:
         made.append(path)
-    df.write.parquet(path)
+    (df if wide else df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -84,10 +98,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str, wide: bool = False) -> DataFrame:
     """What ``make`` returns, written; the tables that it kept on its way are deleted."""
     with scratch(spark):
-        return kept(make(), tag, lasting=True)
+        return kept(make(), tag, lasting=True, wide=wide)
 
 
 def unused(df: DataFrame, name: str) -> str:

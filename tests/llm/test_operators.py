@@ -574,8 +574,8 @@ def test_lm_by_brute_force(spark, monkeypatch):
     of = Counter()
     for (h, _), c in bi.items():
         of[h] += value(c)
-    ngrams, bits = lmscore.counts(docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 != 0))
-    held_rows = [(x.kind, x.bucket, *lmscore._unpacked(x["keys"], x["counts"])) for x in ngrams.collect()]
+    ngrams, contexts, bits = lmscore.counts(docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 != 0))
+    held_rows = [(x.kind, x.bucket, *lmscore._unpacked(x["keys"], x["counts"])) for x in ngrams.unionByName(contexts).collect()]
     for kind, want in ((lmscore.UNI, uni.values()), (lmscore.BI, bi.values()), (lmscore.CONTEXT, [2 * x for x in of.values()])):
         assert Counter(n for k, _, _, c in held_rows if k == kind for n in c.tolist()) == Counter(want)
 
@@ -601,6 +601,15 @@ def test_lm_by_brute_force(spark, monkeypatch):
         assert sum(abs(x) < 1e-6 for x in off) > len(off) / 10 and off[0] > -4 and off[-1] < 4 and off[len(off) // 2] / 41 < 0.02
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, (1 << 64) - 1), st.integers(1, 3) | st.integers(1, (1 << 63) - 1)), max_size=40))
+def test_packed_counts_come_back(pairs):
+    pairs = dict(pairs)
+    key = np.array(sorted(pairs), np.uint64)
+    got = lmscore._unpacked(*lmscore._bytes(key, np.array([pairs[k] for k in key.tolist()], np.uint64)))
+    assert dict(zip(*(x.tolist() for x in got))) == pairs
+
+
 def test_filter_gives_counts_back():
     r = np.random.default_rng(1)
     key = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -612,7 +621,7 @@ def test_filter_gives_counts_back():
     assert (f.read(lmscore.BI, r.integers(0, 1 << 63, 4000, dtype=np.uint64)) > 0).mean() < 0.04
     assert (f.read(lmscore.UNI, key) == 0).all()
     assert lmscore.level(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
-    b = lmscore.bucket_of(lmscore.CONTEXT, key, 2)
+    b, count = lmscore.bucket_of(lmscore.CONTEXT, key, 2), count + np.uint64(1)
     exact = lmscore.Filter(2, {(lmscore.CONTEXT, k): lmscore.region(lmscore.CONTEXT, key[b == k], count[b == k]) for k in range(1, 4)}, 1, 3)
     assert (exact.read(lmscore.CONTEXT, key[b > 0]) == count[b > 0]).mean() > 0.999
 
