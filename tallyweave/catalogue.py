@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave import schema
-from tallyweave.config import Alias, Breakpoints, Checkpoint, Config, Dedup, Tier
+from tallyweave.config import Alias, Breakpoints, Checkpoint, Config, Dedup, Eigencontext, Tier
 from tallyweave.functions import similarity, text, usage
 from tallyweave.functions.let import let
 from tallyweave.operators import blocks, evaluate, mining, sessions, stages
@@ -176,6 +176,15 @@ def tool_ratio(spark, sf_dir):
     return tool_requests(spark, sf_dir).select("session", F.size("messages").cast("long").alias("messages"), blocks.result_tokens().alias("result_tokens"), blocks.request_tokens().alias("tokens"), blocks.tool_heavy(F.col("messages")).alias("tool_heavy"))
 
 
+@query(f"""WITH e AS (SELECT user_id, event_type IN ('error', 'view') AS result, {_tok("event_type || ' ' || coalesce(props, '')")} AS n FROM events),
+s AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS tokens, CAST(coalesce(sum(n) FILTER (WHERE result), 0) AS BIGINT) AS results FROM e GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS session, tokens, results, CASE WHEN tokens < 20 THEN 'tiny' WHEN tokens < 60 THEN 'short' WHEN results / tokens > 0.30 THEN 'tool' ELSE 'full' END AS tier FROM s""")
+def tier_tools(spark, sf_dir):
+    """Tiers of users' events as requests, where tool results are common."""
+    r = let(tool_requests(spark, sf_dir), tokens=blocks.request_tokens(), results=blocks.result_tokens())
+    return r.select("session", "tokens", "results", pipeline.tier(F.col("tokens"), F.col("results"), Tier(20, 60)).alias("tier"))
+
+
 @query("SELECT role, substr(sha1(text), 1, 12) AS hash, count(*) AS n FROM conversations GROUP BY ALL")
 def content_hashes(spark, sf_dir):
     return sessions.seen_hashes(table(spark, sf_dir, "conversations"), "role")
@@ -305,6 +314,19 @@ def eigen_cover(spark, sf_dir):
     return m.where(F.size("s") >= 4).select(F.col("session").cast("string").alias("session"), "mi", F.size("s").cast("long").alias("sentences"), stages.covering(0.70)(F.col("s")).alias("kept"))
 
 
+@query()
+def eigencontext_apply(spark, sf_dir):
+    """Each turn as a marked reference text before a live turn, thinned: sizes before and after, and what is left."""
+    cfg = Eigencontext(True, 0.70, "<<REF>>", 1)
+    said = F.array(block("text", F.concat(F.lit(cfg.marker + " "), F.col("text"))))
+    live = F.array(block("text", F.lit("What now")))
+    m = messages(spark, sf_dir).where("text is not null")
+    turns = F.array(F.struct(F.lit("user").alias("role"), said.alias("content")), F.struct(F.lit("user").alias("role"), live.alias("content")))
+    r = m.select(F.col("session").cast("string").alias("session"), "mi", F.lit(None).cast(schema.SYSTEM).alias("system"), F.lit(None).cast(schema.TOOLS).alias("tools"), turns.alias("messages"), F.array().cast(schema.AUDIT).alias("audit"))
+    out = stages.eigencontext(r, cfg, F.lit(True))
+    return out.select("session", "mi", F.col("audit")[0]["before"].alias("before"), F.col("audit")[0]["after"].alias("after"), F.col("messages")[0]["content"][0]["text"].alias("text"))
+
+
 # -- checkpoint ----------------------------------------------------------------------------------
 
 
@@ -352,7 +374,7 @@ def checkpoint_apply(spark, sf_dir):
 
 _PATHS = """pt AS (SELECT o_custkey AS session, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS mi, count(*) OVER (PARTITION BY o_custkey) AS n,
   'Check /srv/warehouse/orders/' || o_orderstatus || '/' || lower(substr(o_orderpriority, 1, 1)) || '/batch.log again, then /srv/warehouse/orders/' || o_orderstatus || '/' || lower(substr(o_orderpriority, 1, 1)) || '/batch.log of order ' || o_orderkey AS text FROM orders)"""
-_LEGEND = "[ALIAS LEGEND — these short tokens stand in for the strings on the right; treat them as identical]\n"
+_LEGEND = stages.LEGEND
 _ALIASES = f"""{_PATHS},
 st AS (SELECT session, mi, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_./:\\-]{{24,}}')) AS s, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_./:\\-]{{24,}}'), 1) AS p FROM pt WHERE mi < n - 1),
 ca AS (SELECT session, s, count(*) AS c, min(mi * 1000 + p) AS f FROM st GROUP BY ALL HAVING count(*) >= 6),

@@ -50,11 +50,38 @@ def pairwise(raw: Column, swap: Column) -> Column:
     return F.when(v == "tie", F.struct(F.lit(0.5).alias("baseline"), F.lit(0.5).alias("compressed"), F.lit("tie").alias("verdict"))).otherwise(F.struct(F.when(won, 0.0).otherwise(1.0).alias("baseline"), F.when(won, 1.0).otherwise(0.0).alias("compressed"), F.when(won, "compressed").otherwise("baseline").alias("verdict")))
 
 
-def judge_prompt(rubric: Column, baseline: Column, compressed: Column, swap: Column) -> Column:
+#: What a judge is told before the task; ``verdict`` reads the JSON that it asks for.
+INSTRUCTION = """Below are a task and two candidate replies, A and B. Decide which reply a careful user would rather have, \
+going by correctness and completeness. A longer reply is not better for its length. If neither is ahead, call a tie.
+Answer with one JSON object, {"winner": "A", "B" or "tie", "reason": one sentence}, and nothing else."""
+
+
+def judge_prompt(rubric: Column, baseline: Column, compressed: Column, swap: Column, instruction: str = INSTRUCTION) -> Column:
     """What a judge is asked: two answers without names, the compressed one first if ``swap``."""
     a, b = F.when(swap, compressed).otherwise(baseline), F.when(swap, baseline).otherwise(compressed)
-    head = 'Two answers to one task follow. Say which meets the task better, whatever their length or style. Reply with JSON only: {"winner":"A"|"B"|"tie","reason":"..."}.'
-    return F.concat(F.lit(head + "\n\nTASK:\n"), rubric, F.lit("\n\nANSWER A:\n"), a, F.lit("\n\nANSWER B:\n"), b)
+    part = lambda name: F.lit(f"\n\n<{name}>\n")
+    return F.concat(F.lit(instruction), part("task"), rubric, part("reply A"), a, part("reply B"), b)
+
+
+def paired(baseline: DataFrame, compressed: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The two arms of an experiment side by side, and what has no partner.
+
+    Pairs are found by their keys, such as config, task and turn, so neither the order of
+    the rows nor a turn that failed in one arm can shift the others.  Columns beside the
+    keys come as ``baseline_`` and ``compressed_`` ones.  A key that an arm has several times
+    is an error of the experiment: its rows are in the second table too, as are rows with a
+    null key.  That table is (keys, arm, n).
+    """
+    b = baseline.select(*keys, F.struct(*[F.col(c) for c in baseline.columns if c not in keys]).alias("_row"), F.lit("baseline").alias("arm"))
+    c = compressed.select(*keys, F.struct(*[F.col(c) for c in compressed.columns if c not in keys]).alias("_row"), F.lit("compressed").alias("arm"))
+    once = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(f"_{name}_n"), F.any_value("_row").alias(f"_{name}"))
+    both = once(b, "baseline").join(once(c, "compressed"), list(keys), "full")
+    fit = F.coalesce((F.col("_baseline_n") == 1) & (F.col("_compressed_n") == 1), F.lit(False))
+    named = lambda df, name: [F.col(f"_{name}")[x].alias(f"{name}_{x}") for x in df.columns if x not in keys]
+    pairs = both.where(fit).select(*keys, *named(baseline, "baseline"), *named(compressed, "compressed"))
+    sides = F.array(*[F.struct(F.lit(name).alias("arm"), F.col(f"_{name}_n").alias("n")) for name in ("baseline", "compressed")])
+    rest = both.where(~fit).select(*keys, F.explode(sides).alias("s")).select(*keys, "s.arm", "s.n").where("n is not null")
+    return pairs, rest
 
 
 def final_scores(scores: DataFrame, *keys: str) -> DataFrame:

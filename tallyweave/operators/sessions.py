@@ -38,9 +38,11 @@ def mock_usage(calls: DataFrame) -> DataFrame:
     is very small and its size divisible by seven.
     """
     sig = F.substring(F.sha1("first_text"), 1, 10)
-    again = F.row_number().over(W.partitionBy(sig).orderBy("seq")) > 1
+    first = calls.groupBy(sig.alias("_sig")).agg(F.min("seq").alias("_first"))  # combines before it shuffles
+    calls = calls.withColumn("_sig", sig).join(first, "_sig").drop("_sig")
+    again = F.col("seq") > F.col("_first")
     cached = F.when(F.col("breakpoint") & again, F.floor(F.col("tokens") * 6 / 10)).otherwise(0).cast("long")
     lost = (F.col("tokens") < 60) & (F.col("tokens") % 7 == 0)
     answer = F.when(F.col("needle").isNull(), "Done.").when(lost, "").otherwise(F.concat(F.lit("Answer: "), F.col("needle"), F.lit(".")))
-    out = calls.withColumn("cache_read_input_tokens", cached).withColumn("answer", answer)
+    out = calls.withColumn("cache_read_input_tokens", cached).withColumn("answer", answer).drop("_first")
     return out.withColumn("input_tokens", F.greatest(F.lit(1), F.col("tokens") - F.col("cache_read_input_tokens"))).withColumn("cache_creation_input_tokens", F.lit(0).cast("long")).withColumn("output_tokens", F.greatest(F.lit(1), F.floor(F.length("answer") / 4)).cast("long"))

@@ -144,7 +144,21 @@ def greedy_first(cos: np.ndarray, threshold: float) -> list[int]:
     return kept
 
 
-def _verdicts(cfg: Dedup):
+#: An embedding provider: texts to an array with a row for each.  None: counts by hash.
+Embed = Callable[[list[str]], np.ndarray]
+FAILED = "ERROR skipped"
+
+
+def _vectors(texts: list[str], embed: Embed | None) -> np.ndarray:
+    return np.stack([similarity.vector(t) for t in texts]) if embed is None else np.asarray(embed(texts))
+
+
+def embedding_mode(embed: Embed | None) -> str:
+    """What makes the vectors: hash, or the provider's name."""
+    return "hash" if embed is None else getattr(embed, "__name__", type(embed).__name__)
+
+
+def _verdicts(cfg: Dedup, embed: Embed | None = None):
     @F.pandas_udf("struct<threshold:double,kept:array<int>>")
     def verdicts(texts: pd.Series, before: pd.Series) -> pd.DataFrame:
         rows = []
@@ -152,7 +166,11 @@ def _verdicts(cfg: Dedup):
             if ts is None or len(ts) < 2:
                 rows.append((None, list(range(0 if ts is None else len(ts)))))
                 continue
-            cos = similarity.cosines(np.stack([similarity.vector(t) for t in ts]))
+            try:
+                cos = similarity.cosines(_vectors(list(ts), embed))
+            except Exception:  # a provider that fails on one request must not fail the others
+                rows.append((None, None))
+                continue
             t = similarity.otsu_of(cos[np.triu_indices(len(ts), 1)]) if len(ts) >= 3 else cfg.threshold
             t -= 0.13 * max(0.0, (tokens / cfg.context_limit - 0.5) * 2.0)
             t = min(max(min(t, 0.90) if cfg.lexical else t, 0.80), 0.97)
@@ -177,15 +195,16 @@ def dedup_verdicts(requests: DataFrame, cfg: Dedup) -> DataFrame:
     return df.select("session", "v", F.posexplode("cand").alias("i", "c")).select("session", F.col("c.mi").alias("mi"), F.col("c.bi").alias("bi"), F.col("v.threshold").alias("threshold"), F.array_contains("v.kept", F.col("i")).alias("kept"))
 
 
-def dedup(df: DataFrame, cfg: Dedup, run: Column) -> DataFrame:
+def dedup(df: DataFrame, cfg: Dedup, run: Column, embed: Embed | None = None) -> DataFrame:
     """Replace later near-copies of earlier texts and tool results by a stub.
 
     Only texts of at least ``min_block_tokens`` outside of the last messages, and no
     checkpoints, take part.  All pairs of one request are compared in one Arrow batch call.
+    ``embed`` is another embedding provider; a request that it fails on passes unchanged.
     """
     df = let(df, __before=blocks.request_tokens())
     df = let(df, __cand=F.when(run, dedup_candidates(cfg)))
-    df = df.withColumn("__v", _verdicts(cfg)(F.transform("__cand", lambda c: c["text"]), F.col("__before")))
+    df = df.withColumn("__v", _verdicts(cfg, embed)(F.transform("__cand", lambda c: c["text"]), F.col("__before")))
     drop = F.filter("__cand", lambda c, i: ~F.array_contains(F.col("__v.kept"), i))
     df = let(df, __drop=F.transform(drop, lambda c: F.struct(c["mi"].alias("mi"), c["bi"].alias("bi"))))
 
@@ -197,7 +216,7 @@ def dedup(df: DataFrame, cfg: Dedup, run: Column) -> DataFrame:
 
     changed = F.transform("messages", lambda m, mi: m.withField("content", F.transform(m["content"], lambda b, bi: stub(b, mi, bi))))
     df = let(df, messages=F.when(run & (F.size("__drop") > 0), changed).otherwise(F.col("messages")))
-    note = F.when(F.coalesce(F.size("__cand"), F.lit(0)) < 2, F.lit("nothing to dedup")).otherwise(F.concat(F.lit("dropped "), F.size("__drop").cast("string")))
+    note = F.when(F.coalesce(F.size("__cand"), F.lit(0)) < 2, F.lit("nothing to dedup")).when(F.col("__v.kept").isNull(), F.lit(FAILED)).otherwise(F.concat(F.lit("dropped "), F.size("__drop").cast("string")))
     return _audit(df, "semantic_dedup", run, F.col("__before"), note).drop("__before", "__cand", "__v", "__drop")
 
 
@@ -233,8 +252,11 @@ def covering(coverage: float):
     return cover
 
 
-def eigencontext(df: DataFrame, cfg: Eigencontext, run: Column) -> DataFrame:
-    """Thin out marked reference texts of at least four sentences to those that cover the rest."""
+def eigencontext(df: DataFrame, cfg: Eigencontext, run: Column, embed: Embed | None = None) -> DataFrame:
+    """Thin out marked reference texts of at least four sentences to those that cover the rest.
+
+    ``embed`` is another embedding provider; a request that it fails on passes unchanged.
+    """
     df = let(df, __before=blocks.request_tokens())
     n = F.size("messages")
     ref = lambda b, mi: (b["type"] == "text") & F.startswith(b["text"], F.lit(cfg.marker)) & (mi < n - cfg.protect_last)
@@ -247,14 +269,18 @@ def eigencontext(df: DataFrame, cfg: Eigencontext, run: Column) -> DataFrame:
     def thinned(all_parts: pd.Series) -> pd.Series:
         out = []
         for blocks_ in all_parts:
-            out.append(None if blocks_ is None else [" ".join(p[k] for k in greedy_cover(similarity.cosines(np.stack([similarity.vector(s) for s in p])), cfg.coverage)) for p in blocks_])
+            try:
+                out.append(None if blocks_ is None else [" ".join(p[k] for k in greedy_cover(similarity.cosines(_vectors(list(p), embed)), cfg.coverage)) for p in blocks_])
+            except Exception:  # as in dedup
+                out.append(None)
         return pd.Series(out)
 
     df = df.withColumn("__new", thinned(F.col("__parts")))
     put = lambda b, mi: F.get(F.col("__new"), F.array_position(F.col("__parts"), parts(b)).cast("int") - 1)
     changed = F.transform("messages", lambda m, mi: m.withField("content", F.transform(m["content"], lambda b: F.when(ref(b, mi) & (F.size(parts(b)) >= 4), b.withField("text", F.concat(F.lit(cfg.marker), F.lit(" "), put(b, mi)))).otherwise(b))))
-    df = let(df, messages=F.when(run & (F.size("__parts") > 0), changed).otherwise(F.col("messages")))
-    return _audit(df, "eigencontext", run, F.col("__before"), F.concat(F.lit("thinned "), F.coalesce(F.size("__parts"), F.lit(0)).cast("string"))).drop("__before", "__parts", "__new")
+    df = let(df, messages=F.when(run & (F.size("__parts") > 0) & F.col("__new").isNotNull(), changed).otherwise(F.col("messages")))
+    note = F.when(F.col("__parts").isNotNull() & F.col("__new").isNull(), F.lit(FAILED)).otherwise(F.concat(F.lit("thinned "), F.coalesce(F.size("__parts"), F.lit(0)).cast("string")))
+    return _audit(df, "eigencontext", run, F.col("__before"), note).drop("__before", "__parts", "__new")
 
 
 # -- aliases ----------------------------------------------------------------------------------

@@ -27,11 +27,14 @@ def runs(name: str, t: Column) -> Column:
     return t.isin("tool", "full") if name in TOOL_SAFE else t == "full"
 
 
-def compress(requests: DataFrame, cfg: Config) -> DataFrame:
+def compress(requests: DataFrame, cfg: Config, off: Column | None = None, embed: stages.Embed | None = None) -> DataFrame:
     """Requests after all stages, with tier, tokens_in, tokens_out and audit.
 
     The tier is that of the request as it came.  Stages that are off are not part of the
-    plan.  tokens_out is the size after the last stage that changes sizes.
+    plan; ``off`` names, for each request, one more that passes it by.  tokens_out is the
+    size after the last stage that changes sizes.  Built-in functions give null where they
+    cannot give a value, and a request that Python code or the provider ``embed`` fails on
+    passes that stage unchanged, with a note in its audit.
     """
     df = let(requests, tokens_in=blocks.request_tokens(), audit=F.array().cast(schema.AUDIT))
     df = let(df, tier=tier(F.col("tokens_in"), blocks.result_tokens(), cfg.tier))
@@ -40,7 +43,13 @@ def compress(requests: DataFrame, cfg: Config) -> DataFrame:
         if not section.enabled:
             continue
         stage, run = getattr(stages, name), runs(name, F.col("tier"))
-        df = stage(df, run) if name == "state_machine" else stage(df, section, run)
+        run = run if off is None else run & ~off.eqNullSafe(F.lit(name))
+        if name == "state_machine":
+            df = stage(df, run)
+        elif name in ("dedup", "eigencontext"):
+            df = stage(df, section, run, embed)
+        else:
+            df = stage(df, section, run)
     sized = F.filter("audit", lambda a: a["name"] != "cache_breakpoints")
     return let(df, tokens_out=F.coalesce(F.try_element_at(sized, F.lit(-1))["after"], F.col("tokens_in")))
 
@@ -52,12 +61,13 @@ def audit_rows(compressed: DataFrame) -> DataFrame:
 
 
 def ablations(requests: DataFrame, cfg: Config) -> DataFrame:
-    """The pipeline with all stages, and without each of three, under a ``config`` column."""
-    out = None
-    for name, c in {"full": cfg, "no checkpoint": cfg.only(checkpoint=False), "no dedup": cfg.only(dedup=False), "no breakpoints": cfg.only(breakpoints=False)}.items():
-        part = compress(requests, c).select(F.lit(name).alias("config"), "session", "request_id", "tier", "tokens_in", "tokens_out")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The pipeline with all stages, and without each of three, under a ``config`` column.
+
+    Requests are read once; each goes through the one plan once for each configuration.
+    """
+    each = F.array(F.lit("full"), *[F.lit(f"no {x}") for x in ("checkpoint", "dedup", "breakpoints")])
+    out = compress(requests.withColumn("config", F.explode(each)), cfg, off=F.replace(F.col("config"), F.lit("no "), F.lit("")))
+    return out.select("config", "session", "request_id", "tier", "tokens_in", "tokens_out")
 
 
 def replay(requests: DataFrame, cfg: Config) -> DataFrame:

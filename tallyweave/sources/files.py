@@ -74,22 +74,37 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 STATE = "session string, created_at double, updated_at double, legend array<struct<alias:string,original:string>>, checkpoint_text string, checkpoint_covers int, checkpoint_hash string, seen map<string,long>"
 
 
-def save_state(states: DataFrame, path: str) -> None:
-    """Write a snapshot of session states beside ``path`` and move it there, so that a
-    reader finds the old one or the new one, whole."""
-    spark = states.sparkSession
-    new = f"{path}.{uuid.uuid4().hex}"
-    states.write.parquet(new)
+#: Snapshots that are left beside the newest, for readers that have one of them open.
+OLD_STATES = 2
+
+
+def _versions(spark: SparkSession, path: str) -> tuple:
+    """The file system, its Path, and the numbers of the whole snapshots below ``path``."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(new), hadoop(path))
+    names = [x.getPath().getName() for x in fs.listStatus(hadoop(path))] if fs.exists(hadoop(path)) else []
+    return fs, hadoop, sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit())
+
+
+def save_state(states: DataFrame, path: str) -> None:
+    """Write a snapshot of session states as the next version below ``path``.
+
+    A version gets its name by one rename once it is whole and is never written again, so
+    at any moment the highest one is whole; ``OLD_STATES`` older ones stay for open readers.
+    For one writer at a time: the rename of a second one for the same number is an error.
+    """
+    fs, hadoop, held = _versions(states.sparkSession, path)
+    new = f"{path}/writing-{uuid.uuid4().hex}"
+    states.write.parquet(new)
+    number = held[-1] + 1 if held else 1
+    if fs.exists(hadoop(f"{path}/v{number}")) or not fs.rename(hadoop(new), hadoop(f"{path}/v{number}")):
+        raise FileExistsError(f"{path}/v{number} was written meanwhile")
+    for n in held[: max(0, len(held) - OLD_STATES)]:
+        fs.delete(hadoop(f"{path}/v{n}"), True)
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot at ``path`` with the columns of ``STATE``: unknown ones are dropped,
-    missing ones are null, and without a snapshot it is empty."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(path)
+    """The newest snapshot below ``path`` with the columns of ``STATE``: unknown ones are
+    dropped, missing ones are null, and without a snapshot it is empty."""
+    held = _versions(spark, path)[2]
+    return spark.read.schema(STATE).parquet(f"{path}/v{held[-1]}") if held else spark.createDataFrame([], STATE)

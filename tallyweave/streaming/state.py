@@ -27,7 +27,7 @@ class SessionState(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {"ttl_duration_ms": self.ttl_ms} if self.ttl_ms else {}
+        ttl = {"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}
         self.totals = handle.getValueState("totals", "turns long, repeats long, hits long, hash string", **ttl)
         self.seen = handle.getMapState("seen", "hash string", "n long", **ttl)
 
