@@ -105,7 +105,7 @@ def against(snapshot: DataFrame, filters: DataFrame, batch: DataFrame, buckets:
     """The digests of ``batch`` (digest, keep_new, n_new) whose text is in ``snapshot`` (digest, keep_old, n_old)."""
     positive = batch.select(_bucket(buckets), "digest", "keep_new", "n_new").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(_screen, "digest binary, keep_new long, n_new long")
     pairs = storage.kept(positive.join(snapshot, "digest"), "positives")
-    ids = storage.kept(pairs.select(F.explode(F.array("keep_old", "keep_new")).alias("doc_id")).where("doc_id is not null").distinct(), "ids")
+    ids = storage.kept(pairs.select(F.explode(F.array("keep_old", "keep_new")).alias("doc_id")).where("doc_id is not null").distinct(), "ids", files=storage.LINK_FILES)
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(_texts, "doc_id long, norm binary")
     # sha2 of the bytes tells repeated ids with different texts apart.
@@ -131,7 +131,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
     late = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(True)) if middle is not None else F.lit(False)
-    prints = storage.kept(docs.mapInArrow(_digests, "doc_id long, digest binary").withColumn("late", late), "prints", wide=True)
+    prints = storage.kept(docs.mapInArrow(_digests, "doc_id long, digest binary").withColumn("late", late), "prints", files=storage.SCAN_FILES)
 
     snapshot = storage.kept(distinct(prints.where("not late"), "keep_old", "n_old"), "snapshot")
     batch = storage.kept(distinct(prints.where("late"), "keep_new", "n_new"), "batch")

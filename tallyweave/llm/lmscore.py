@@ -39,11 +39,11 @@ result.  Further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -389,7 +389,7 @@ def _dealt(rows: DataFrame, regions: DataFrame, bits: int, shards: int, result,
     shift = max(0, bits - (shards - 1).bit_length())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, at, held, out = TaskContext.get().partitionId() << 32, 0, [], None
+        n, at, held, out = uuid.uuid4().int >> 66, 0, [], None  # numbers that no other task takes
 
         def row() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
@@ -465,7 +465,7 @@ def _dealt(rows: DataFrame, regions: DataFrame, bits: int, shards: int, result,
         return pa.Table.from_batches([result(mine["doc_id"].chunk(0), mine["held_out"].chunk(0), tok, offs, read)])
 
     folder = storage.folder(rows.sparkSession, "slices")
-    slices = storage.kept(rows.mapInArrow(cut, "slice long, file string, at long, size long"), "slices", wide=True)
+    slices = storage.kept(rows.mapInArrow(cut, "slice long, file string, at long, size long"), "slices", files=storage.SCAN_FILES)
     tasks = max(-(-slices.count() // 8), rows.sparkSession.sparkContext.defaultParallelism)
     asks = slices.repartitionByRange(tasks, "slice").mapInArrow(ask, "shard long, slice long, kind int, keys binary")
     held = regions.select(F.shiftright(F.col("bucket").cast("long"), shift).alias("shard"), "kind", "bucket", "region")
@@ -537,7 +537,7 @@ def _score(docs: DataFrame, fold: int) -> DataFrame:
     else:
         scored = _dealt(rows, regions, bits, -(-size // SHARD), result, out_schema)
 
-    scored = storage.kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored", wide=True)
+    scored = storage.kept(scored.withColumn("row", F.monotonically_increasing_id()), "scored", files=storage.SCAN_FILES)
     few = _unigrams(unigrams, lambda c: c < floor)
     rare = scored.select("row", F.explode("rare").alias("key")).join(few, "key", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(d_base)))).alias("base_rare"), F.count("c").alias("n_rare"))
     out = scored.drop("rare").join(rare, "row", "left")

@@ -43,8 +43,9 @@ SIGNATURE = 128
 BANDS = 32
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Ids of documents to verify that are broadcast at most (8 bytes each); beyond it they are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Ids of documents to verify that are broadcast at most, with their digests (32 bytes each);
+#: beyond it they are shuffled.
+BROADCAST_IDS = 250_000
 
 _U = np.uint64
 
@@ -226,7 +227,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """near_duplicates with the digest of each row's set."""
     storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = storage.kept(docs.mapInArrow(_sketch, _SKETCH), "sketch", wide=True)
+    sketch = storage.kept(docs.mapInArrow(_sketch, _SKETCH), "sketch", files=storage.SCAN_FILES)
 
     # Equal sets stand as one: all rows of a digest have the same band keys.
     reps = sketch.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
@@ -242,9 +243,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     fits = lambda p, q: 100 * F.least(p, q) >= PERCENT * F.greatest(p, q)
     size = reps.select("rep", F.col("n").alias("n_pivot"))
     first = bucket.where("rep <> pivot").select("pivot", "rep", "n").distinct().join(size.withColumnRenamed("rep", "pivot"), "pivot").where(fits(F.col("n"), F.col("n_pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    first = storage.kept(first, "pairs")
+    first = storage.kept(first, "pairs", files=storage.LINK_FILES)
 
-    wanted = storage.kept(bucket.select("rep").distinct().join(reps.select("rep", F.col("id").alias("doc_id"), "digest"), "rep"), "wanted")
+    wanted = storage.kept(bucket.select("rep").distinct().join(reps.select("rep", F.col("id").alias("doc_id"), "digest"), "rep"), "wanted", files=storage.LINK_FILES)
     small = wanted.count() <= BROADCAST_IDS
     near = F.broadcast if small else lambda df: df
     # A repeated doc_id may come with several texts: the digest says which row is meant.
@@ -253,18 +254,18 @@ def _grouped(docs: DataFrame) -> DataFrame:
     sets = storage.kept(sets.join(near(wanted), ["doc_id", "digest"]).select(F.col("rep").alias("doc_id"), "set"), "sets")
     sets_one = sets.dropDuplicates(["doc_id"]) if sets.count() != wanted.count() else sets
 
-    links = storage.kept(_verified(first, sets_one), "links")
+    links = storage.kept(_verified(first, sets_one), "links", files=storage.LINK_FILES)
     comp = components(links)
 
     # Buckets whose members are in more than one group: the rest of their links.
     of = bucket.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "pivot", "rep", "n", "comp")
     torn = of.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("home")).where("c0 < c1").select("key", "home")
-    of = storage.kept(of.join(torn, "key").groupBy("home", "rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "torn")
-    more = storage.kept(_torn_links(of, sets_one), "links")
-    comp = storage.kept(components(links.unionByName(more)), "components")
+    of = storage.kept(of.join(torn, "key").groupBy("home", "rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "torn", files=storage.LINK_FILES)
+    more = storage.kept(_torn_links(of, sets_one), "links", files=storage.LINK_FILES)
+    comp = storage.kept(components(links.unionByName(more)), "components", files=storage.LINK_FILES)
     if several:
         least = comp.join(reps.select("rep", "id"), F.col("node") == F.col("rep")).groupBy("component").agg(F.min("id").alias("least"))
-        comp = storage.kept(comp.join(least, "component").select("node", F.col("least").alias("component")), "components")
+        comp = storage.kept(comp.join(least, "component").select("node", F.col("least").alias("component")), "components", files=storage.LINK_FILES)
     storage.drop(sets, bucket, of, wanted, first, links, more)
 
     # Every row takes the component of the row that stands for its set.  Empty sets, which

@@ -195,7 +195,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = items.drop("sequence_id", "offset")
     part, first, number, row, rank = (storage.unused(items, x) for x in ("part", "first", "number", "row", "rank"))
     names = items.columns
-    items = storage.kept(items.withColumn(number, F.monotonically_increasing_id()), "pieces", wide=True)
+    items = storage.kept(items.withColumn(number, F.monotonically_increasing_id()), "pieces", files=storage.SCAN_FILES)
     count = [0] * (capacity + 1)
     for r in items.groupBy("length").count().collect():  # at most ``capacity`` rows
         count[r[0]] = r[1]

@@ -239,10 +239,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, width: in
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
 
     def write_all() -> DataFrame:
-        encoded = storage.kept(rows.mapInArrow(encode, "doc_id long, tie long, ids binary"), "encoded", wide=True)
+        encoded = storage.kept(rows.mapInArrow(encode, "doc_id long, tie long, ids binary"), "encoded", files=storage.SCAN_FILES)
         return encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(shards, MANIFEST)
 
-    return storage.settled(docs.sparkSession, write_all, "manifest", wide=True)
+    return storage.settled(docs.sparkSession, write_all, "manifest", files=None)
 
 
 def read(manifest: DataFrame) -> DataFrame:

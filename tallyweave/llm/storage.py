@@ -65,21 +65,22 @@ def small_batches(spark: SparkSession) -> None:
 _open: list[list[str]] = []
 
 
-#: Files of a kept table for each core of the cluster, at most, unless it is wide.
-FILES = 4
+#: Files of a kept table for each core of the cluster, at most: of bare ids and links, of other
+#: tables, and of what a pass over texts makes.  Thousands of tiny files cost more than tasks
+#: that write several partitions one after another.
+LINK_FILES, FILES, SCAN_FILES = 2, 8, 16
 
 
-def kept(df: DataFrame, tag: str, lasting: bool = False, wide: bool = False) -> DataFrame:
+def kept(df: DataFrame, tag: str, lasting: bool = False, files: int | None = FILES) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and outlives executors.
 
-    A ``lasting`` table outlives the innermost scratch.  Tables of ids, links and the like are
-    written by a few tasks a core, so that a small one is not thousands of files; ``wide``
-    ones, made by a pass over texts, by as many tasks as they have partitions.
+    A ``lasting`` table outlives the innermost scratch.  Partitions are put together, without
+    a shuffle, into at most ``files`` tasks a core; None: as many tasks as partitions.
     """
     path = fresh(df.sparkSession, tag)
     for made in _open[:-1][-1:] if lasting else _open[-1:]:
         made.append(path)
-    (df if wide else df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
+    (df if files is None else df.coalesce(files * df.sparkSession.sparkContext.defaultParallelism)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -98,10 +99,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str, wide: bool = False) -> DataFrame:
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str, files: int | None = FILES) -> DataFrame:
     """What ``make`` returns, written; the tables that it kept on its way are deleted."""
     with scratch(spark):
-        return kept(make(), tag, lasting=True, wide=wide)
+        return kept(make(), tag, lasting=True, files=files)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -121,7 +122,7 @@ def without(docs: DataFrame, judged: DataFrame, digested, broadcast_ids: int) ->
     """
     name, told = unused(docs, "gone"), unused(docs, "gone_text")
     ids = judged.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every"))
-    gone = kept(ids.where("not every").select(F.col("doc_id").alias(name), F.col("some").alias("some")), "gone", lasting=True)
+    gone = kept(ids.where("not every").select(F.col("doc_id").alias(name), F.col("some").alias("some")), "gone", lasting=True, files=LINK_FILES)
     mixed = gone.where("some").select(F.col(name).alias("doc_id"))
     whole = gone.where("not some").select(name)
     small = gone.count() <= broadcast_ids
@@ -131,7 +132,7 @@ def without(docs: DataFrame, judged: DataFrame, digested, broadcast_ids: int) ->
         return out
     bad = judged.where("not kept").join(near(mixed), "doc_id", "left_semi").select("doc_id", "digest").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(near(mixed), "doc_id", "left_semi")
-    pairs = kept(digested(texts).join(bad, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(name), F.col("text").alias(told)).distinct(), "gone", lasting=True)
+    pairs = kept(digested(texts).join(bad, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(name), F.col("text").alias(told)).distinct(), "gone", lasting=True, files=LINK_FILES)
     return out.join(pairs, (F.col("doc_id") == F.col(name)) & F.col("text").eqNullSafe(F.col(told)), "left_anti")
 
 

@@ -59,7 +59,7 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int, width: i
 
     storage.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = storage.kept(docs.mapInArrow(dump, "file string, first long, doc_ids array<long>, n_ids long"), "flat", wide=True)
+    told = storage.kept(docs.mapInArrow(dump, "file string, first long, doc_ids array<long>, n_ids long"), "flat", files=storage.SCAN_FILES)
     files = told.groupBy("file").agg(F.max("n_ids").alias("n_ids"))
     order = told.select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
     return files, order
@@ -84,7 +84,7 @@ def count_tokens(files: DataFrame, end: int, width: int = 2, block: int | None =
                 found = np.flatnonzero(np.frombuffer(raw, f"<u{width}") == end) + lo
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size], pa.int64()), pa.array([k], pa.int64()), pa.array([found], pa.list_(pa.int64()))], ["file", "size", "block", "ends"])
 
-    scan = storage.kept(ranges.mapInArrow(search, "file string, size long, block long, ends array<long>"), "scan", wide=True)
+    scan = storage.kept(ranges.mapInArrow(search, "file string, size long, block long, ends array<long>"), "scan", files=storage.SCAN_FILES)
     told = scan.select("file", "size", "block", F.size("ends").alias("n"), F.array_max("ends").alias("last"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     carry = told.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("done"), (F.coalesce(F.max("last").over(before), F.lit(-1)) + 1).alias("open"))

@@ -59,7 +59,7 @@ def components(links: DataFrame) -> DataFrame:
     Null ends are ignored, and so are links of a node with itself.  An empty table gives an
     empty one.
     """
-    e = storage.kept(links.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_local, "v long, u long"), "star")
+    e = storage.kept(links.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_local, "v long, u long"), "star", files=storage.LINK_FILES)
     last = None
     while True:
         # e holds links v -> u with u < v.  Large star: each neighbour above v goes to the least neighbour of v.
@@ -69,7 +69,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: the neighbours below v, and v, go to the least of them.
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.v", "x.u").where("v <> u").distinct()
-        before, e = e, storage.kept(small, "star")
+        before, e = e, storage.kept(small, "star", files=storage.LINK_FILES)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         storage.drop(before)
         if now == last:

@@ -118,7 +118,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return storage.kept(told.mapInArrow(archive, INDEX), "index", wide=True)
+    return storage.kept(told.mapInArrow(archive, INDEX), "index", files=storage.SCAN_FILES)
 
 
 def ranges(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
