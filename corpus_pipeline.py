@@ -72,7 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what a stage keeps is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, storage.settled(spark, functools.partial(stage, spark, docs, sf_dir), name, wide=True)
+        before, docs = docs, storage.settled(spark, functools.partial(stage, spark, docs, sf_dir), name, files=storage.SCAN_FILES)
         if hasattr(before, "kept_at"):
             storage.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
