@@ -20,8 +20,9 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks that a worker keeps (about 200 bytes each), and the longest that it keeps.
-CACHE = 200_000
+#: Chunks after a space, and at a line's start, that a worker keeps (about 200 bytes each), and
+#: the longest that it keeps.
+CACHE, FIRST_CACHE = 300_000, 75_000
 CACHE_CHARS = 40
 
 #: White space as the split pattern has it.
@@ -69,7 +70,7 @@ class Encoder:
                 ids = self._chunk(held, prefix, m[1]) + self._chunk(self.first, "", m[2])
             else:
                 ids = self._raw(prefix + chunk)
-            if len(chunk) <= CACHE_CHARS and len(held) < CACHE:
+            if len(chunk) <= CACHE_CHARS and len(held) < (CACHE if held is self.later else FIRST_CACHE):
                 held[chunk] = ids
         return ids
 

@@ -13,14 +13,15 @@ key repeats) that binary search names.
 
 The key of a document is its ``doc_id`` as eight big-endian bytes with the sign bit
 flipped, so keys sort as the ids do; a null id has the empty key and sorts first.  Repeated
-ids are all stored, in order of a hash of their texts.  Null texts are stored as the end id
+ids are all stored, in any order.  Null texts are stored as the end id
 alone.  A long text is one entry, larger than a block.  An empty table writes no shard and
 reads back empty.  Further columns are ignored.
 
-Writing encodes the texts where they are and shuffles their ids by ranges of keys; each task
-streams its range to files of its own, block by block, and begins a new one when the last
-holds ``shard`` bytes of data or ``shard_docs`` documents.  A lost task leaves files that no manifest
-names.
+Writing encodes the texts where they are and shuffles their ids, once, by ranges of (key, hash
+of the row), whose bounds come from a sample of the keys; a key that many rows repeat spans
+several ranges.  Each task streams its ranges to files of its own, block by block, and begins
+a new one when the last holds ``shard`` bytes of data or ``shard_docs`` documents.  A lost task
+leaves files that no manifest names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,6 +44,8 @@ BLOCK = 32 << 10
 #: Bytes of data blocks, and documents, from which on a shard is full: bound a reader's task
 #: and the keys and index that a writer holds.
 SHARD, SHARD_DOCS = 256 << 20, 1 << 20
+#: Documents of a range, ranges at most (beyond them ranges grow), and keys sampled for each.
+RANGE_DOCS, RANGES, SAMPLED = 10_000, 10_000, 30
 #: Bytes of neighbouring blocks that a full scan reads at once.
 READ = 8 << 20
 MAGIC = b"TWSSTBL1"
@@ -208,41 +210,57 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = 0, width: in
     """Encode ``docs`` (doc_id, text) and write shards in ascending order of doc_id; returns their
     manifest.  An id that needs more than ``width`` bytes (2 or 4) is an error."""
 
+    storage.small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string"), F.monotonically_increasing_id()).alias("tie"), F.col("text").cast("string").alias("text"))
+    bounds = docs.sparkSession.sparkContext.broadcast(_bounds(rows))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.narrow(raw, width) for _, raw in bpe.encoded(b.column(2), vocabulary, end)], pa.binary())], ["doc_id", "tie", "ids"])
+            keys = [_place(*x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            part = pa.array([bisect.bisect_right(bounds.value, x) for x in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([part, b.column(0), b.column(1), pa.array([bpe.narrow(raw, width) for _, raw in bpe.encoded(b.column(2), vocabulary, end)], pa.binary())], ["part", "doc_id", "tie", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, n = None, TaskContext.get().partitionId() << 32
+        writer = part = None
+        n = 0
 
         def row() -> pa.RecordBatch:
             writer.finish()
             out.close()
-            return pa.RecordBatch.from_pydict({"shard": [n], "file": [f"{folder}/{name}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [writer.entries], "n_tokens": [writer.total]})
+            return pa.RecordBatch.from_pydict({"shard": [(part << 32) + n], "file": [f"{folder}/{name}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "n_docs": [writer.entries], "n_tokens": [writer.total]})
 
         for b in batches:
-            ids, values = b.column(0).to_pylist(), b.column(1)
-            for k, doc_id in enumerate(ids):
-                if writer is not None and (writer.at + len(writer.block) >= shard or len(writer.keys) >= shard_docs):
+            values = b.column(2)
+            for k, (own, doc_id) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if writer is not None and (own != part or writer.at + len(writer.block) >= shard or len(writer.keys) >= shard_docs):
                     yield row()
                     writer, n = None, n + 1
                 if writer is None:
                     name, out = storage.write_stream(folder, "shard")
-                    writer, first = Writer(out, width), doc_id
+                    writer, first, part = Writer(out, width), doc_id, own
                 writer.add(key_of(doc_id), values[k].as_py())
                 last = doc_id
         if writer is not None:
             yield row()
 
-    storage.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    encoded = rows.mapInArrow(encode, "part long, doc_id long, tie long, ids binary").repartitionById(len(bounds.value) + 1, F.col("part").cast("int"))
+    ordered = encoded.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie").select("part", "doc_id", "ids")
+    return storage.kept(ordered.mapInArrow(shards, MANIFEST), "manifest")
+
+
+def _place(doc_id: int | None, tie: int) -> tuple[bool, int, int]:
+    return doc_id is not None, doc_id or 0, tie
 
-    def write_all() -> DataFrame:
-        encoded = storage.kept(rows.mapInArrow(encode, "doc_id long, tie long, ids binary"), "encoded", files=storage.SCAN_FILES)
-        return encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(shards, MANIFEST)
 
-    return storage.settled(docs.sparkSession, write_all, "manifest", files=None)
+def _bounds(rows: DataFrame) -> list[tuple[bool, int, int]]:
+    """Where ranges of about RANGE_DOCS of ``rows`` (doc_id, tie) begin, but for the first."""
+    total = rows.count()
+    ranges = min(RANGES, -(-total // RANGE_DOCS))
+    if ranges <= 1:
+        return []
+    share = min(1.0, ranges * SAMPLED / total)
+    some = sorted(_place(*r) for r in rows.select("doc_id", "tie").sample(share, 7).collect())  # about RANGES * SAMPLED at most
+    return sorted({some[k * len(some) // ranges] for k in range(1, ranges)}) if some else []
 
 
 def read(manifest: DataFrame) -> DataFrame:
