@@ -166,10 +166,12 @@ def fit(train: DataFrame) -> tuple:
     """Model arguments from a sample of ``train`` (doc_id, text, lang)."""
     named = train.where("lang is not null and text is not null")
     # Few rows of a language are ranked: those below a share of the hashes that holds about 4 * SAMPLE.
-    sizes = named.groupBy("lang").agg(F.count("*").alias("_n"))
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("_n") < 4 * SAMPLE
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id"))
-    pick = named.select("doc_id", "lang").join(sizes, "lang").where(low).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang").distinct()
+    sizes = named.groupBy("lang").count().collect()  # a row for each language, as the model has
+    share = {r["lang"]: 4.0 * SAMPLE / r["count"] for r in sizes}
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    low = u / F.lit(float(1 << 40)) < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) if share else F.lit(False)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(u, "doc_id"))
+    pick = named.select("doc_id", "lang").where(low).withColumn("_r", rank).where(F.col("_r") <= SAMPLE).select("doc_id", "lang").distinct()
     sample = named.select("doc_id", "lang", "text").join(F.broadcast(pick), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, kind string, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     # Words that come once say less than their n-grams do.
