@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but
 the last return the columns of ``documents``.  Rows of null text are empty documents.
-Rows that repeat an id with another text are told apart by their texts; those of a null id take
-no part in near-dedup and stay in exact dedup's groups.  Of rows that repeat both, all stay
+Rows that repeat an id with another text are told apart by their texts.  Rows of a null id
+cannot be named, so both dedup stages leave them in; rows that repeat id and text stay or go
 together.  An empty table goes through all stages as one, and further columns of documents are
 kept up to the last stage, whatever their names.  Texts of any length are read whole.
 """
