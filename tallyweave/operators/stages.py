@@ -299,8 +299,15 @@ def alias_strings(texts: Column, min_length: int) -> Column:
 
 def alias_candidates(strings: Column, min_occurrences: int) -> Column:
     """(original, n) of the strings that recur, those first whose length times count is
-    largest, and in order of appearance among equals."""
-    counted = F.transform(F.array_distinct(strings), lambda s, i: F.struct(s.alias("original"), i.alias("i"), F.size(F.filter(strings, lambda x: x == s)).alias("n")))
+    largest, and in order of appearance among equals.
+
+    Equal strings stand together once sorted, so a row of n strings costs one sort of them.
+    """
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    heads = lambda a: F.array_compact(F.transform(a, lambda x, k: F.when((k == 0) | (F.get(a, k - 1)["s"] != x["s"]), k)))
+    runs = lambda a, h: F.transform(h, lambda k, j: F.struct(F.get(a, k)["s"].alias("original"), F.get(a, k)["i"].alias("i"), (F.coalesce(F.get(h, j + 1), F.size(a)) - k).alias("n")))
+    ordered = F.array_sort(F.transform(strings, lambda s, i: F.struct(s.alias("s"), i.alias("i"))))
+    counted = once(ordered, lambda a: once(heads(a), lambda h: runs(a, h)))
     ok = F.filter(counted, lambda c: c["n"] >= min_occurrences)
     ranked = F.array_sort(F.transform(ok, lambda c: F.struct((-F.length(c["original"]) * c["n"]).alias("k"), c["i"].alias("i"), c["original"].alias("original"), c["n"].alias("n"))))
     return F.transform(ranked, lambda c: F.struct(c["original"].alias("original"), c["n"].alias("n")))

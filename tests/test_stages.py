@@ -1,7 +1,9 @@
 """The compression stages on fixtures of our own."""
 
 import json
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +141,20 @@ def test_alias_pays_and_expands_back(spark):
     assert stages.alias(later, Alias(True, 4, 20, 24, 0), F.lit(True)).first().audit[0].note == "no alias candidates"
 
 
+def test_alias_candidates_as_by_a_loop(spark):
+    rng = random.Random(1)
+    rows = [None, [], ["a"], ["a", "a"], ["b", "a", "b", "a"]] + [[f"w{rng.randint(0, 30)}" * rng.randint(1, 2) for _ in range(rng.randint(0, 80))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, x array<string>")
+    for r in df.select("id", stages.alias_candidates(F.col("x"), 2).alias("c")).collect():
+        x = rows[r.id]
+        if x is None:
+            assert r.c is None
+            continue
+        n = Counter(x)
+        want = sorted((s for s in n if n[s] >= 2), key=lambda s: (-len(s) * n[s], x.index(s)))
+        assert [tuple(c) for c in r.c] == [(s, n[s]) for s in want]
+
+
 def test_expansion_takes_longest_alias_first(spark):
     legend = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(o).alias("original")) for a, o in (("@a1", "one"), ("@a10", "ten"))))
     df = spark.range(1).select(text.expand(F.lit("@a10 @a1 @a2"), legend).alias("x"), text.substitute(F.lit("/api /api/users"), F.array(F.struct(F.lit("@a0").alias("alias"), F.lit("/api").alias("original")), F.struct(F.lit("@a1").alias("alias"), F.lit("/api/users").alias("original")))).alias("y"))
