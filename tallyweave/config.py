@@ -25,6 +25,7 @@ class Dedup:
     lexical: bool = True
     stub_text: str = "[redundant context removed]"
     stub_tool: str = "[duplicate tool result removed]"
+    one_bin: float = 0.93
 
 
 @dataclass(frozen=True)

@@ -26,6 +26,8 @@ PLACES = 256
 BINS = 100
 #: Where there is nothing to separate.
 DEFAULT_THRESHOLD = 0.93
+#: The centre of the first bin.
+FIRST_CENTRE = 0.5 / BINS
 
 
 def grams(text: Column) -> Column:
@@ -121,7 +123,7 @@ def otsu(pairs: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "pairs", F.when(F.col("pairs") < 3, F.lit(DEFAULT_THRESHOLD)).otherwise(F.coalesce("t", F.lit(DEFAULT_THRESHOLD))).alias("threshold"))
 
 
-def otsu_of(values: np.ndarray) -> float:
+def otsu_of(values: np.ndarray, one_bin: float = DEFAULT_THRESHOLD) -> float:
     """The same over one group's cosines, for use inside Arrow functions."""
     values = values[(values >= 0) & (values <= 1)]
     if len(values) < 3:
@@ -132,7 +134,7 @@ def otsu_of(values: np.ndarray) -> float:
     n1 = n0[-1] - n0
     ok = (n0 > 0) & (n1 > 0)
     if not ok.any():
-        return DEFAULT_THRESHOLD
+        return one_bin
     with np.errstate(invalid="ignore", divide="ignore"):
         var = np.where(ok, np.round(n0 / n0[-1] * (n1 / n0[-1]) * (m0 / n0 - (m0[-1] - m0) / n1) ** 2, 12), -1)
     return float(c[int(var.argmax())])
