@@ -104,11 +104,11 @@ def histogram(pairs: DataFrame, *keys: str) -> DataFrame:
     return inside.groupBy(*keys, F.least(F.floor(F.col("cos") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def otsu(pairs: DataFrame, *keys: str) -> DataFrame:
+def otsu(pairs: DataFrame, *keys: str, one_bin: float = DEFAULT_THRESHOLD) -> DataFrame:
     """(keys, pairs, threshold) by Otsu's method over the histogram.
 
     The centre of the first bin after which the variance between the two classes is largest;
-    the default for fewer than three pairs, or where all are in one bin.
+    the default for fewer than three pairs, ``one_bin`` where all are in one bin.
     """
     h = histogram(pairs, *keys)
     bins = h.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin")).join(h, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -120,7 +120,7 @@ def otsu(pairs: DataFrame, *keys: str) -> DataFrame:
     between = F.round(over(F.col("n0"), F.col("total")) * over(n1, F.col("total")) * F.pow(over(F.col("m0"), F.col("n0")) - over(F.col("mass") - F.col("m0"), n1), 2), 12)
     split = w.withColumn("var", F.when((F.col("n0") > 0) & (F.col("n0") < F.col("total")), between))
     best = split.groupBy(*keys).agg(F.first("total").alias("pairs"), F.max_by("c", F.when(F.col("var").isNotNull(), F.struct("var", -F.col("bin")))).alias("t"))
-    return best.select(*keys, "pairs", F.when(F.col("pairs") < 3, F.lit(DEFAULT_THRESHOLD)).otherwise(F.coalesce("t", F.lit(DEFAULT_THRESHOLD))).alias("threshold"))
+    return best.select(*keys, "pairs", F.when(F.col("pairs") < 3, F.lit(DEFAULT_THRESHOLD)).otherwise(F.coalesce("t", F.lit(one_bin))).alias("threshold"))
 
 
 def otsu_of(values: np.ndarray, one_bin: float = DEFAULT_THRESHOLD) -> float:
